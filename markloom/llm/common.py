@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -28,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the JVM ends."""
+    The files go when the JVM ends. Frames that nothing refers to any more are collected, so that Spark deletes
+    the shuffle files of finished steps while later ones run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/markloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def width(spark: SparkSession) -> int:

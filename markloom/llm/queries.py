@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from markloom.llm import mixing
 from markloom.llm.common import documents
 from markloom.llm.ngram_join import ngram_components
+from markloom.llm.packing import pack
+from markloom.llm.quality_lm import judge_quality
+from markloom.llm.substring_dedup import repeated_spans
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir), n=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.label_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, quality=docs["mix_quality"])
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(documents(spark, sf_dir), least=50)
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_mix_sources, op5_suffix_array_dedup, op7_best_fit_packing, op9_quality_classifier)}
+
+ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE}
