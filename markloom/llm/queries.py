@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 
 from markloom.llm import mixing
 from markloom.llm.common import documents
+from markloom.llm.fingerprints import compare_fingerprints
+from markloom.llm.language_id import identify_languages
 from markloom.llm.ngram_join import ngram_components
 from markloom.llm.packing import pack
 from markloom.llm.quality_lm import judge_quality
 from markloom.llm.substring_dedup import repeated_spans
+from markloom.llm.token_counts import count_tokens
+from markloom.llm.toxicity import score_toxicity
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_fingerprints(documents(spark, sf_dir))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +41,35 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_mix_sources, op5_suffix_array_dedup, op7_best_fit_packing, op9_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_token_counts,
+        op3_ngram_jaccard_join,
+        op4_mix_sources,
+        op5_suffix_array_dedup,
+        op6_language_id,
+        op7_best_fit_packing,
+        op8_toxicity,
+        op9_quality_classifier,
+    )
+}
 
 ORACLE_SQL = {"op4_mix_sources": mixing.ORACLE}
