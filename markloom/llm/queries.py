@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markloom.llm import mixing
+from markloom.llm.bm25 import top_documents
 from markloom.llm.common import documents
 from markloom.llm.fingerprints import compare_fingerprints
 from markloom.llm.language_id import identify_languages
@@ -57,6 +58,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(documents(spark, sf_dir), every=20, k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +74,7 @@ QUERIES = {
         op7_best_fit_packing,
         op8_toxicity,
         op9_quality_classifier,
+        op10_exact_top_k_search,
     )
 }
 
