@@ -1 +1 @@
-
+"""Column functions: no data moves, all run inside generated code."""
