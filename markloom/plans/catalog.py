@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markloom.operators import decisions, rollups  # noqa: F401  they register their queries
+from markloom.operators import decisions, marks, rollups, spatial, statistics, windows  # noqa: F401  they register their queries
 from markloom.plans.registry import ORACLES, QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["job_rollup"](spark, sf_dir)
+    return QUERIES["eval_text_marks"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
