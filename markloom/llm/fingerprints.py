@@ -61,11 +61,11 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The length of shared chunks, as a part of the shorter set's length: 1 if one contains the other, or both are empty."""
+    """How much of `a`, by length of chunks, `b` contains; of an empty one, whether both are empty."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     length = lambda x: int((x & np.uint64(0xFFFF)).sum())
-    return length(np.intersect1d(a, b, assume_unique=True)) / min(length(a), length(b))
+    return length(np.intersect1d(a, b, assume_unique=True)) / length(a)
 
 
 def written(a: np.ndarray) -> str:
@@ -126,8 +126,8 @@ def compare_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of `docs`.
 
     Next: the document of the next greater doc_id; after the last, the first. Edited: the last half of the code points
-    (rounded down) replaced by the first as many of the next, or all. fingerprint: base64 of the chunk set; near_*: its
-    likeness, by length of shared chunks, to the edited text's and the next document's.
+    (rounded down) replaced by the first as many of the next, or all. fingerprint: base64 of the chunk set; near_*: what
+    part of it, by length of chunks, the edited text's and the next document's contain.
 
     Documents are dealt to ranges of doc_id whose starts come to the driver, one number a range; a range's first
     document goes to the range before as well, so each text is shuffled once, compressed, and nothing is joined.
