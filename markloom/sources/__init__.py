@@ -1 +1 @@
-
+"""Files, images and PDFs as rows."""
