@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markloom.operators import decisions, marks, rollups, spatial, statistics, windows  # noqa: F401  they register their queries
+from markloom.operators import decisions, marks, review, rollups, spatial, statistics, windows  # noqa: F401  they register their queries
 from markloom.plans.registry import ORACLES, QUERIES
 
 
