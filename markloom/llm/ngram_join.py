@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.llm.blocks import pack_keys, unpack_keys
 from markloom.llm.common import materialize, shared_dir, slices, width
 from markloom.llm.graph import components
 
@@ -122,58 +124,95 @@ class PartEnum:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-_FOUND = "kind int, doc_id long, n_shingles long, digest binary, other long, shard int, payload binary"
+_NODES = "doc_id long, n_shingles long, digest binary"
+_SIGNED = "shard int, pairs boolean, payload binary"
 
 
-def _found(batches: Iterable[pa.RecordBatch], n: int, num: int, den: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a row per document. Kind 1: sorted signatures with the smallest document of the slice that has each,
-    by shard. Kind 2: the slice's other documents with a signature, each linked to the smallest."""
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def _nodes(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    shingle = Shingler(n)
+    for piece in slices(batches):
+        sets = [shingle(t) for t in piece.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"]
+        )
+
+
+def _signed(batches: Iterable[pa.RecordBatch], n: int, num: int, den: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A slice's signatures by shard, each with the smallest document that has it; and, as pairs, the other documents
+    with a signature, each linked to the smallest. 48 bits of a signature are kept: one more meeting costs a check."""
     shingle, enum = Shingler(n), PartEnum(num, den)
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     for piece in slices(batches):
-        ids, rows, first = piece.column(0).to_pylist(), [], {}
-        for doc, text in zip(ids, piece.column(1).to_pylist()):
-            s = shingle(text)
-            digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            rows.append((0, doc, len(s), digest, None, None, None))
-            if doc is not None and digest is not None and (digest not in first or doc < first[digest][0]):
-                first[digest] = (doc, first[digest][1] if digest in first else enum.sign(s))
-        if signed := [x for x in first.values() if len(x[1])]:
-            sig = np.concatenate([x[1] for x in signed])
-            doc = np.repeat(np.array([x[0] for x in signed], np.int64), [len(x[1]) for x in signed])
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            new = np.r_[True, sig[1:] != sig[:-1]]
-            low = doc[new][np.cumsum(new) - 1]
-            pairs = np.unique(np.stack([doc[~new], low[~new]]), axis=1)
-            rows += [(2, int(a), None, None, int(b), None, None) for a, b in pairs.T if a != b]
-            sig, doc = sig[new], doc[new]
-            shard = (sig >> np.uint64(40)).astype(np.int64) % shards
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in range(shards):
-                if len(at := order[ends[k] : ends[k + 1]]):
-                    docs, index = np.unique(doc[at], return_inverse=True)
-                    rows.append((1, None, len(at), None, len(docs), k, sig[at].tobytes() + docs.tobytes() + index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Of one shard's signatures in two slices or more: each document linked to the smallest that shares one."""
-    sigs, docs = [], []
-    for n, m, data in zip(*(table.column(c).to_pylist() for c in ("n_shingles", "other", "payload"))):
-        sigs.append(np.frombuffer(data, np.uint64, n))
-        at = np.frombuffer(data, np.uint32 if m > 65535 else np.uint16, n, 8 * (n + m))
-        docs.append(np.frombuffer(data, np.int64, m, 8 * n)[at])
+        first: dict[bytes, tuple[int, np.ndarray]] = {}
+        for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            s = shingle(text) if doc is not None else np.empty(0, np.uint64)
+            if len(s):
+                key = digest_of(s)
+                if key not in first:
+                    first[key] = (doc, enum.sign(s))
+                elif doc < first[key][0]:
+                    first[key] = (doc, first[key][1])
+        signed = [x for x in first.values() if len(x[1])]
+        if not signed:
+            continue
+        sig = np.concatenate([x[1] for x in signed]) >> np.uint64(16)
+        doc = np.repeat(np.array([x[0] for x in signed], np.int64), [len(x[1]) for x in signed])
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        low = doc[new][np.cumsum(new) - 1]
+        keep = ~new & (doc != low)
+        rows = []
+        if keep.any():
+            pairs = np.unique(np.stack([doc[keep], low[keep]], axis=1), axis=0)
+            rows.append((int(sig[0] % np.uint64(shards)), True, pairs.tobytes()))
+        sig, doc = sig[new], doc[new]
+        shard = (sig >> np.uint64(20)).astype(np.int64) % shards
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        for k, (x, y) in enumerate(zip(ends, ends[1:])):
+            if y > x:
+                at = order[x:y]
+                docs, index = np.unique(doc[at], return_inverse=True)
+                content = (pack_keys(sig[at]), pack_keys(docs.view(np.uint64)), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes())
+                rows.append((k, False, pickle.dumps(content)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["shard", "pairs", "payload"])
+
+
+def _meet(table: pa.Table, parts: int) -> pa.Table:
+    """Of one shard's signatures in two slices or more: each document linked to the smallest that shares one, packed by
+    the linked document."""
+    sigs, docs, given = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+    for pairs, data in zip(table.column("pairs").to_pylist(), table.column("payload").to_pylist()):
+        if pairs:
+            given.append(np.frombuffer(data, np.int64).reshape(-1, 2))
+            continue
+        sig, names, index = pickle.loads(data)
+        names = unpack_keys(names).view(np.int64)
+        sigs.append(unpack_keys(sig))
+        docs.append(names[np.frombuffer(index, np.uint32 if len(names) > 65535 else np.uint16)])
     sig, doc = np.concatenate(sigs), np.concatenate(docs)
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
-    new = np.r_[True, sig[1:] != sig[:-1]]
+    new = np.r_[True, sig[1:] != sig[:-1]][: len(sig)]
     low = doc[new][np.cumsum(new) - 1]
     keep = ~new & (doc != low)
-    a, b = np.unique(np.stack([doc[keep], low[keep]]), axis=1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    pairs = np.unique(np.concatenate([np.stack([doc[keep], low[keep]], axis=1), *given]), axis=0)
+    with np.errstate(over="ignore"):
+        part = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(int)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    cuts = [(k, pairs[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(ends, ends[1:])) if y > x]
+    return pa.table({"part": pa.array([k for k, _ in cuts], pa.int32()), "pairs": pa.array([x for _, x in cuts], pa.binary())})
+
+
+def _pairs(table: pa.Table) -> pa.Table:
+    """Different pairs from all shards."""
+    pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.column("pairs").to_pylist()]), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -243,14 +282,14 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     shared_dir(spark)
     shards = 2 * width(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(text.mapInArrow(lambda it: _found(it, n, num, den, shards), _FOUND))
-    nodes = found.where("kind = 0").select("doc_id", "n_shingles", "digest")
-    met = found.where("kind = 1").select("shard", "n_shingles", "other", "payload").repartition(shards, "shard")
-    edges = met.groupBy("shard").applyInArrow(_meet, "a long, b long")
-    edges = edges.unionByName(found.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+    nodes = materialize(text.mapInArrow(lambda it: _nodes(it, n), _NODES))
     named = nodes.where("digest is not null and doc_id is not null")
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
-    group = components(edges)
+    group = components(
+        text.mapInArrow(lambda it: _signed(it, n, num, den, shards), _SIGNED)
+        .groupBy("shard").applyInArrow(lambda t: _meet(t, shards), "part int, pairs binary")
+        .groupBy("part").applyInArrow(_pairs, "a long, b long")
+    )
     reps = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"), F.sum("n_shingles").alias("n_shingles"))
     asked = materialize(group.join(reps, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "copies", "n_shingles"))
     sizes = asked.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).where("docs > 1")
