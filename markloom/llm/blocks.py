@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from markloom.llm.common import slices, text_bytes, width
 
 BLOCK_BYTES = 16 << 20
+UNIT_BYTES = 256 << 10, 16 << 20
 
 
 def block_count(docs: DataFrame) -> int:
@@ -62,6 +64,21 @@ def to_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).mapInArrow(_pack, "block int, payload binary")
 
 
+def _unite(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, most=most):
+        data = squeeze(pickle.dumps(list(zip(*(c.to_pylist() for c in part.columns)))))
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(data) >> 1], pa.int64()), pa.array([data], pa.binary())], names=["block", "payload"])
+
+
+def to_units(docs: DataFrame) -> DataFrame:
+    """(block, payload): rows of `docs` (doc_id, text, ...) packed as they are read, to be written and then read often.
+
+    A unit holds about a quarter of a shuffle partition's share of the text, between UNIT_BYTES; block is its name."""
+    share = text_bytes(docs) // (4 * width(docs.sparkSession))
+    most = min(max(share, UNIT_BYTES[0]), UNIT_BYTES[1])
+    return docs.mapInArrow(lambda it: _unite(it, most), "block long, payload binary")
+
+
 def rows_of(table: pa.Table) -> list[tuple]:
     """The rows that `to_blocks` packed, in an order that doesn't depend on how they came."""
     rows = [r for data in table.column("payload").to_pylist() for r in pickle.loads(zstandard.decompress(data))]

@@ -26,22 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Collects frames that nothing refers to any more, so that Spark deletes the shuffle files of finished steps while
+    later ones run, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the JVM ends. Frames that nothing refers to any more are collected, so that Spark deletes
-    the shuffle files of finished steps while later ones run."""
+    The files go when the JVM ends."""
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_dir(spark).rstrip('/')}/markloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    schema = df.schema
-    del df
-    gc.collect()
-    jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def width(spark: SparkSession) -> int:

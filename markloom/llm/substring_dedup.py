@@ -7,12 +7,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.blocks import block_count, block_of, pack_keys, rows_of, squeeze, to_blocks, unpack_keys
-from markloom.llm.common import materialize, shared_dir, width
+from markloom.llm.blocks import pack_keys, rows_of, squeeze, to_units, unpack_keys
+from markloom.llm.common import materialize, release, shared_dir, width
 
 #: Bytes of an anchor: each window of the minimum length selects the anchors with the smallest hash in it.
 ANCHOR = 24
@@ -203,17 +204,32 @@ def distinct_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return key[cut], np.minimum.reduceat(owner, cut) != np.maximum.reduceat(owner, cut)
 
 
-_KEYS = "shard int, block int, keys binary"
-_SHARED = "block int, shard int, doc_id long, payload binary"
-_STRINGS = "shard int, block int, payload binary"
+_DIGESTS = "block long, doc_id long, digest binary"
+_KEYS = "shard int, block long, keys binary"
+_SHARED = "block long, shard int, doc_id long, payload binary"
+_STRINGS = "shard int, block long, payload binary"
 
 
-def _key_rows(key, docs: pa.Table, copies: pa.Table, least: int, shards: int) -> pa.Table:
-    block = Block(docs, copies.column("doc_id").to_pylist(), least)
-    block.find()
-    keys, twice = distinct_keys(block)
-    rows = [(k, pack_keys(keys[at] << np.uint64(1) | twice[at])) for k, at in by_shard(keys, shards)]
-    return _table(_KEYS, [(k, key[0].as_py(), data) for k, data in rows])
+def _units(batches: Iterable[pa.RecordBatch]) -> Iterable[tuple[int, pa.Table]]:
+    for batch in batches:
+        for i, name in enumerate(batch.column("block").to_pylist()):
+            yield name, pa.Table.from_batches([batch.slice(i, 1)])
+
+
+def _digest_rows(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for name, docs in _units(batches):
+        rows = [(name, r[0], xxhash.xxh3_128_digest(r[1].encode("utf-8", "replace"))) for r in rows_of(docs) if r[0] is not None and r[1]]
+        yield from _table(_DIGESTS, rows).to_batches()
+
+
+def _key_rows(batches: Iterable[pa.RecordBatch], least: int, shards: int) -> Iterable[pa.RecordBatch]:
+    """The different anchors of each block by shard, whether two of its documents have each or not."""
+    for name, docs in _units(batches):
+        block = Block(docs, [], least)
+        block.find()
+        keys, twice = distinct_keys(block)
+        rows = [(k, name, pack_keys(keys[at] << np.uint64(1) | twice[at])) for k, at in by_shard(keys, shards)]
+        yield from _table(_KEYS, rows).to_batches()
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -245,7 +261,11 @@ def _string_rows(key, docs: pa.Table, other: pa.Table, least: int, shards: int)
     ids, shard_of, data = (other.column(c).to_pylist() for c in ("doc_id", "shard", "payload"))
     block = Block(docs, [i for i in ids if i is not None], least)
     block.find()
-    keys, _ = distinct_keys(block)
+    every = block
+    if any(block.copy):  # the shards were asked for the anchors of all texts
+        every = Block(docs, [], least)
+        every.find()
+    keys, _ = distinct_keys(every)
     shared = np.zeros(len(keys), bool)
     bits = {k: d for k, d in zip(shard_of, data) if d is not None}
     for k, at in by_shard(keys, shards):
@@ -365,20 +385,21 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
         raise ValueError(f"least must be above {ANCHOR}")
     spark = docs.sparkSession
     shared_dir(spark)
-    shards, blocks = 2 * width(spark), 2 * block_count(docs)
+    shards = width(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = materialize(to_blocks(text, blocks))
-    digests = materialize(text.where("doc_id is not null and text <> ''").select("doc_id", F.sha2("text", 256).alias("digest")))
+    packed = materialize(to_units(text))
+    digests = materialize(packed.mapInArrow(_digest_rows, _DIGESTS))
     first = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    copies = digests.join(first, "digest").where("doc_id > first").select("doc_id").distinct()
-    copies = materialize(copies.select(block_of("doc_id", blocks).alias("block"), F.lit(None).cast("int").alias("shard"), "doc_id", F.lit(None).cast("binary").alias("payload")))
+    copies = digests.join(first, "digest").where("doc_id > first").select("block", F.lit(None).cast("int").alias("shard"), "doc_id", F.lit(None).cast("binary").alias("payload"))
+    copies = materialize(copies.distinct())
     in_block = packed.groupBy("block")
-    keys = in_block.cogroup(copies.groupBy("block")).applyInArrow(lambda k, l, r: _key_rows(k, l, r, least, shards), _KEYS)
-    shared = keys.groupBy("shard").applyInArrow(_shared_rows, _SHARED)
-    side = materialize(shared).unionByName(copies)
+    shared = packed.mapInArrow(lambda it: _key_rows(it, least, shards), _KEYS).groupBy("shard").applyInArrow(_shared_rows, _SHARED)
+    shared = materialize(shared)
+    side = shared.unionByName(copies)
     strings = materialize(in_block.cogroup(side.groupBy("block")).applyInArrow(lambda k, l, r: _string_rows(k, l, r, least, shards), _STRINGS))
     owners = strings.where("shard is not null").groupBy("shard").applyInArrow(lambda t: _owner_rows(t, least), _SHARED)
     held = strings.where("shard is null").select("block", "shard", F.lit(None).cast("long").alias("doc_id"), "payload")
+    release(spark)
     answers = owners.unionByName(held).unionByName(copies)
     return in_block.cogroup(answers.groupBy("block")).applyInArrow(lambda l, r: _span_rows(l, r, least), _SPANS)
 
