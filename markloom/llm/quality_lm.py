@@ -204,7 +204,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen one to four times by order, and 65536 continuation counts at most."""
     spark = docs.sparkSession
     shared_dir(spark)
-    shards, blocks = 2 * width(spark), block_count(docs)
+    shards, blocks = width(spark), block_count(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = good.withColumn("block", block_of("doc_id", blocks))
