@@ -70,11 +70,12 @@ class PartEnum:
     Sizes fall into bands whose ends differ by that ratio at most, so linked sets are in one band or in neighbours;
     each set signs for its own band and the next. In a band, linked sets differ in at most k features. The feature
     domain is cut into n1 parts of n2 cells each; with at most k differences some part has at most k2 of them, hence
-    some n2 - k2 of its cells are equal, and each such choice of cells is a signature. A choice without features
-    tells nothing: sets for which `spare` parts or more have such a choice also sign with the features of their
-    prefix in hash order, of which linked sets share one."""
+    some n2 - k2 of its cells are equal, and each such choice of cells is a signature. A choice without features tells
+    nothing and isn't one. To spoil the others of a part takes k2 + 1 differences, or as many as it has filled cells if
+    that is less; `spare` parts more, and one in 16, make up for those. A set whose parts can all be spoiled by k
+    differences also signs with the features of its prefix in hash order, of which linked sets share one."""
 
-    def __init__(self, num: int, den: int, spare: int = 2):
+    def __init__(self, num: int, den: int, spare: int = 6):
         self.num, self.den, self.spare = num, den, spare
         self.tops = [1]
 
@@ -86,15 +87,15 @@ class PartEnum:
 
     @lru_cache(maxsize=4096)
     def plan(self, band: int):
-        """(parts, cells, choices, seeds) of a band, or None if its linked sets are equal."""
+        """(k, parts, cells, k2, choices, seeds) of a band, or None if its linked sets are equal."""
         self.band(self.tops[-1] + 1) if band >= len(self.tops) else None
         k = (self.den - self.num) * 2 * self.tops[band] // (self.den + self.num)
         if not k:
             return None
         n2, k2 = (3, 1) if k >= 16 else (1, 0)
-        n1 = k // (k2 + 1) + self.spare
+        n1 = k // (k2 + 1) + k // (k2 + 1) // 16 + self.spare
         choices = list(combinations(range(n2), n2 - k2))
-        return n1, n2, choices, [seed_of(self.num, self.den, band, i) for i in range(len(choices) + 1)]
+        return k, n1, n2, k2, choices, [seed_of(self.num, self.den, band, i) for i in range(len(choices) + 1)]
 
     def sign(self, features: np.ndarray) -> np.ndarray:
         size, out = len(features), []
@@ -105,7 +106,7 @@ class PartEnum:
             plan = self.plan(band)
             if plan is None:
                 continue
-            n1, n2, choices, seeds = plan
+            k, n1, n2, k2, choices, seeds = plan
             with np.errstate(over="ignore"):
                 h = mix(features + seeds[0])
                 cell = ((h >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
@@ -113,12 +114,11 @@ class PartEnum:
                 np.add.at(sums, cell, mix(h))
                 filled = np.bincount(cell, minlength=n1 * n2)
                 sums, filled = sums.reshape(n1, n2), filled.reshape(n1, n2)
-                part, empty = np.arange(n1, dtype=np.uint64), np.zeros(n1, bool)
+                part = np.arange(n1, dtype=np.uint64)
                 for choice, seed in zip(choices, seeds[1:]):
                     here = filled[:, choice].sum(1) > 0
                     out.append(mix(sums[:, choice].sum(1, dtype=np.uint64) + mix(part + seed))[here])
-                    empty |= ~here
-                if empty.sum() >= self.spare:
+                if np.minimum(k2 + 1, (filled > 0).sum(1)).sum() <= k:
                     least = -(-self.num * size // self.den)
                     out.append(mix(np.sort(h)[: size - least + 1] ^ seeds[0]))
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
