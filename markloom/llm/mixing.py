@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return out.withColumn("epochs", epochs).select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3, quality: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3, quality: Column | None = None, row: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of `docs` (doc_id, text, source).
 
     size: the text's words, 0 for null. A source gives whole epochs of all its documents first; what is left of its
@@ -61,13 +61,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     of the one bucket in which a source's target ends are sorted. So a source that holds most rows isn't gathered
     in a task. Nulls: a null source is a source, a null quality counts as 1. Equal rows have equal keys and may be
     taken in any order, which changes no count. Rows of no words are only taken with whole epochs. `quality`:
-    positive weights of documents, at most 1 for evenly filled buckets. An empty table gives none."""
+    positive weights of documents, at most 1 for evenly filled buckets. `row`: a column of each row that its result
+    has too, as row, and that orders rows of equal keys. An empty table gives none."""
     shared_dir(docs.sparkSession)
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     weight = F.lit(1.0) if quality is None else F.coalesce(quality.cast("double"), F.lit(1.0))
-    base = materialize(docs.select("doc_id", "source", size.alias("size"), (-F.ln(u) / weight).alias("key")))
+    carried = [] if row is None else ["row"]
+    base = materialize(docs.select("doc_id", "source", size.alias("size"), (-F.ln(u) / weight).alias("key"), *([] if row is None else [row.alias("row")])))
     buckets = max(LEAST_BUCKETS, base.count() // BUCKET_ROWS)
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") / 2)) * buckets), F.lit(buckets - 1)).cast("int")
     base = base.withColumn("bucket", bucket)
@@ -79,13 +81,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ends = sums.alias("s").join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")), "right")
     plan = materialize(ends.select(*[F.col(f"t.{c}").alias(c) for c in ("source", "source_size", "target", "epochs", "rest")], F.coalesce("bucket", F.lit(buckets)).alias("end"), F.coalesce("before", F.lit(0)).alias("before")))
     rows = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
-    ahead = Window.partitionBy("source").orderBy("key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("source").orderBy("key", F.col("doc_id"), "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where("bucket = end").withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     edge = edge.withColumn("more", ((F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))).cast("long"))
     # a source without rest ends before its first words; documents of no words are not taken there either
     plain = rows.where("bucket <> end").withColumn("more", ((F.col("bucket") < F.col("end")) & (F.col("rest") > 0) & (F.col("size") > 0)).cast("long"))
     return plain.unionByName(edge).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("copies"), ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("copies"), ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), *carried
     )
 
 
@@ -98,12 +100,13 @@ def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it: not at all, once or more times. doc_id must not repeat."""
-    weighted = label_quality(docs.select("doc_id", "text", "source"), labels)
-    taken = materialize(mix(weighted, quality=weighted["mix_quality"]).where("copies > 0").select("doc_id", "copies"))
-    d, t = docs.alias("d"), taken.alias("t")
-    joined = d.join(t, F.col("d.doc_id") == F.col("t.doc_id"))
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    """The rows of `docs`, each as often as the mix takes it: not at all, once or more times.
+
+    A row goes through the mix with its own copies, so rows without doc_id and rows that share one come as often as
+    the mix counted them."""
+    weighted = label_quality(docs, labels)
+    rows = mix(weighted, quality=weighted["mix_quality"], row=F.struct(*docs.columns)).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""

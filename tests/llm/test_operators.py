@@ -279,6 +279,25 @@ def test_mixing_odd(docs_of, odd_rows, spark):
     assert all(x.taken == 0 for x in mixing.mix(docs_of([(1, "", None, "a"), (2, None, None, None)])).collect())
 
 
+def test_mixed_rows_keep_their_copies(docs_of, spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(words(r.randrange(1, 40), i)), None, r.choice("abbbb")) for i in range(60)]
+    rows += [(None, f"no name {i} " + "w " * i, None, "a") for i in range(5)] + [(None, "no name twice", None, "b")] * 2
+    rows += [(7000, "said again and again", None, s) for s in "ab" for _ in range(20)] + [(7001, f"one name, text {i}", None, "a") for i in range(3)]
+    docs, labels = docs_of(rows), spark.createDataFrame([(1, 1), (7000, 0), (None, 1)], "doc_id long, quality int")
+    weighted = mixing.label_quality(docs, labels)
+    expected = Counter()
+    for x in mixing.mix(weighted, quality=weighted["mix_quality"]).collect():
+        expected[x.doc_id, x.source, x.size] += x.copies
+    out = mixing.mixed(docs, labels)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((x.doc_id, x.source, len(x.text.split())) for x in got) == +expected
+    assert any(x.doc_id is None for x in got) and {(x.doc_id, x.text) for x in got} <= {x[:2] for x in rows}
+    by_row = Counter((x.doc_id, x.source, x.text) for x in got)
+    assert 20 <= by_row[7000, "a", "said again and again"] <= 60 and all(by_row[7001, "a", f"one name, text {i}"] in (1, 2, 3) for i in range(3))
+
+
 def test_mixing_equals_sql(same):
     from markloom.llm import queries
 
