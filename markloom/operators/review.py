@@ -80,7 +80,7 @@ SELECT mask, count(*) AS pixels, sum(v)::BIGINT AS total, min(x) AS left_, max(x
 def mask_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft regions laid into masks, the strongest winning at each pixel; and the masks' bounds and coverage."""
     c = F.col
-    r = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(c("l_suppkey").alias("mask"), (c("l_partkey") % 12).alias("x0"), (c("l_orderkey") % 9).alias("y0"), (c("l_quantity") * 5).cast("int").alias("v"))
+    r = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("mask"), (c("l_partkey") % 12).alias("x0"), (c("l_orderkey") % 9).alias("y0"), (c("l_quantity") * 5).cast("int").alias("v"))
     shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(3) for dy in range(2)])
     p = r.withColumn("s", F.explode(shifts)).select("mask", (c("x0") + c("s.dx")).alias("x"), (c("y0") + c("s.dy")).alias("y"), "v")
     m = p.groupBy("mask", "x", "y").agg(F.max("v").alias("v"))

@@ -13,6 +13,7 @@ from tests.conftest import DATA, rows_of
 #: Query, folder of tables large enough for the cut to drop rows, and the parts of the SQL to leave out.
 CUTS = [
     ("greedy_fuse", DATA, [" WHERE page % 4 = 0"]),
+    ("mask_raster", DATA, [" WHERE l_orderkey % 50 = 0"]),
 ]
 
 
