@@ -141,7 +141,7 @@ def combined_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = F.col("event_type")
     source = F.when(t == "signup", "batch").when(t == "view", "overlay").when(t == "click", "repeated").when(t == "purchase", "text_ocr").otherwise("info_stamp")
-    s = table(spark, sf_dir, "events").where("event_id % 29 = 0").select("user_id", source.alias("source"), "value")
+    s = table(spark, sf_dir, "events").select("user_id", source.alias("source"), "value")
     calibrated = F.col("value") / 500 * F.when(F.col("source") == "text_ocr", rules.CALIBRATION["text_ocr"]).otherwise(1.0)
     c = s.groupBy("user_id", "source").agg(F.max(F.least(F.lit(1.0), F.greatest(F.lit(0.0), calibrated))).alias("s"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("key"), "source", "s")))

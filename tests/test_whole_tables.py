@@ -14,6 +14,7 @@ from tests.conftest import DATA, rows_of
 CUTS = [
     ("greedy_fuse", DATA, [" WHERE page % 4 = 0"]),
     ("mask_raster", DATA, [" WHERE l_orderkey % 50 = 0"]),
+    ("combined_confidence", DATA, [" WHERE event_id % 29 = 0"]),
 ]
 
 
