@@ -55,10 +55,10 @@ SELECT o_orderkey, o_custkey, epoch_ms(o_orderdate) AS created_at FROM orders WH
 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 10
 """)
 def unfinished_jobs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of unfinished jobs, newest first, with a total order; Spark keeps the first rows of each task only."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus IN ('O', 'P') AND o_custkey % 4 = 1")
-    page = rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(10).limit(20)
-    return page.select("o_orderkey", "o_custkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    """All unfinished jobs, newest first, with a total order."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus IN ('O', 'P')")
+    jobs = rows.orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return jobs.select("o_orderkey", "o_custkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
 
 
 @query("""

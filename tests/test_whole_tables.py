@@ -15,6 +15,8 @@ CUTS = [
     ("greedy_fuse", DATA, [" WHERE page % 4 = 0"]),
     ("mask_raster", DATA, [" WHERE l_orderkey % 50 = 0"]),
     ("combined_confidence", DATA, [" WHERE event_id % 29 = 0"]),
+    ("greedy_decode", "/root/testdata/sf0.01", [" WHERE user_id < 60"]),
+    ("unfinished_jobs_page", DATA, [" AND o_custkey % 4 = 1", " LIMIT 20 OFFSET 10"]),
 ]
 
 
