@@ -21,8 +21,6 @@ HELD = 5
 #: Bytes at the language's mean that are added to each document, so that short ones are judged with care.
 PRIOR_BYTES = 50
 QUANTILE, SLACK = 0.99, 1.03
-#: A language with fewer documents to set its threshold has that of all languages.
-LEAST_HELD = 30
 #: Steps of a nat in which quantiles are counted.
 STEPS = 1000
 
@@ -233,16 +231,16 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for each row of `docs` (doc_id, text, lang).
 
     perplexity is by byte, with PRIOR_BYTES bytes at the mean of the held-out trusted texts of the language; the
-    threshold is SLACK times their quantile QUANTILE, both of all languages where a language has fewer than
-    LEAST_HELD. keep: not above the threshold.
+    threshold is SLACK times their quantile QUANTILE; a language without such texts has both of all languages. keep:
+    not above the threshold.
 
     A null or empty text has the mean's perplexity and is kept. A null language is one of its own. Without trusted
     texts nothing is rejected and the threshold is null. Rows without doc_id are scored, never trusted; equal rows
     score equal. Other columns are ignored; an empty table gives none."""
     scores = materialize(perplexities(docs, labels))
     held = scores.where(F.col("trusted") & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD)) == 0) & (F.col("n_bytes") > 0))
-    means = materialize(held.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")))
-    own = means.where(F.col("docs") >= LEAST_HELD).select("lang", (F.col("nll") / F.col("bytes")).alias("own_mean"))
+    means = materialize(held.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n_bytes").alias("bytes")))
+    own = means.select("lang", (F.col("nll") / F.col("bytes")).alias("own_mean"))
     rest = means.agg((F.sum("nll") / F.sum("bytes")).alias("all_mean"))
     every = F.lit(rest.first()["all_mean"]).cast("double")
 
@@ -250,20 +248,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         r, o = rows.alias("r"), own.alias("o")
         joined = r.join(o, F.col("r.lang").eqNullSafe(F.col("o.lang")), "left")
         mean = F.coalesce(F.col("o.own_mean"), every, F.lit(0.0))
-        return joined.select("r.*", ((F.col("nll") + PRIOR_BYTES * mean) / (F.col("n_bytes") + PRIOR_BYTES)).alias("rate"), F.col("o.own_mean").isNotNull().alias("own"))
+        return joined.select("r.*", ((F.col("nll") + PRIOR_BYTES * mean) / (F.col("n_bytes") + PRIOR_BYTES)).alias("rate"))
 
-    steps = with_rate(held).groupBy("lang", "own", F.floor(F.col("rate") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    steps = with_rate(held).groupBy("lang", F.floor(F.col("rate") * STEPS).alias("step")).agg(F.count("*").alias("n"))
     steps = materialize(steps)
 
     def quantile(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by)
         upto = rows.select(*by, "step", F.sum("n").over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("all"))
-        return upto.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy(*by).agg(((F.min("step") + 1) / STEPS * SLACK).alias("limit"))
+        return upto.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy(*by).agg((SLACK * F.exp((F.min("step") + 1) / STEPS)).alias("limit"))
 
-    by_lang = materialize(quantile(steps.where("own"), ["lang"]))
+    by_lang = materialize(quantile(steps, ["lang"]))
     of_all = quantile(steps.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).first()
     s, q = with_rate(scores).alias("s"), by_lang.alias("q")
-    limit = F.exp(F.coalesce(F.col("q.limit"), F.lit(of_all["limit"] if of_all else None).cast("double")))
+    limit = F.coalesce(F.col("q.limit"), F.lit(of_all["limit"] if of_all else None).cast("double"))
     out = s.join(q, F.col("s.lang").eqNullSafe(F.col("q.lang")), "left").select("s.doc_id", "s.lang", "n_bytes", F.exp("rate").alias("perplexity"), limit.alias("threshold"))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 

@@ -332,6 +332,21 @@ def test_quality(docs_of, spark):
     assert sum(found[i].keep for i in range(260, 300)) >= 38
 
 
+def test_quality_thresholds_are_of_the_language(docs_of, spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(words(r.randrange(20, 60), i)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(r.choice(("uno", "dos", "tres")) for _ in range(60)), "es") for i in range(60)] + [(2000, "ein zwei drei", "de")]
+    labels = spark.createDataFrame([(x[0], 1) for x in rows[:-1]], "doc_id long, quality int")
+    found = quality_lm.judge_quality(docs_of(rows), labels).collect()
+    limit = {}
+    for lang in ("en", "es"):
+        held = [x.perplexity for x in found if x.lang == lang and quality_lm.held_out(x.doc_id)]
+        assert 0 < len(held) < 100  # so the quantile is the largest
+        limit[lang] = {x.threshold for x in found if x.lang == lang}.pop()
+        assert limit[lang] == pytest.approx(1.03 * max(held), rel=0.002)
+    assert limit["es"] < limit["en"] and {x.threshold for x in found if x.lang == "de"} <= {limit["en"]}
+
+
 def test_quality_odd(docs_of, odd_rows, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     found = quality_lm.judge_quality(docs_of(odd_rows), none).collect()
