@@ -6,13 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.llm.common import slices
 
-#: Documents of a language to learn from, smallest hashes of doc_id first, and languages, most frequent first.
-SAMPLE, LANGUAGES = 160, 64
+#: Documents of a language to learn from, smallest hashes of doc_id first.
+SAMPLE = 160
 #: Units of each direction. Texts are read in strips of STRIP bytes, each from a zero state.
 UNITS, STRIP = 8, 256
 #: Strips of a document that training draws, steps, strips a step, and the rate of Adam.
@@ -186,7 +186,7 @@ def identify_languages(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFr
     """(doc_id, held_out, lang_pred, score) for each row of `docs` (doc_id, text, lang).
 
     Learns, on the driver, from text and lang of documents for which crc32(doc_id as text) mod `folds` is not `held`:
-    SAMPLE of each of the LANGUAGES most frequent languages at most. Predicts from whole texts alone: every byte gets
+    SAMPLE of each language at most. Predicts from whole texts alone: every byte gets
     probabilities of languages, of which a document's mean decides; score is that of the language said. No row moves
     to be predicted.
 
@@ -196,15 +196,9 @@ def identify_languages(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFr
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     known = text.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != held) & F.col("text").isNotNull())
     ids = known.select("doc_id", "lang")
-    often = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rows: list[tuple[str, str]] = []
-    if often:
-        chosen = None
-        for lang in often:
-            some = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-            chosen = some if chosen is None else chosen.unionByName(some)
-        picked = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
-        rows = [(r.lang, r.text) for r in sorted(picked)]
-    network = learn(rows)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE).drop("nth")
+    picked = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
+    network = learn([(r.lang, r.text) for r in sorted(picked)])
     out = text.select("doc_id", "text").mapInArrow(lambda it: _predicted(it, network), _OUT)
     return out.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

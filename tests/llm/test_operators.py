@@ -394,6 +394,15 @@ def test_languages(spark, sf_dir, docs_of, odd_rows):
     assert at[1].lang_pred == at[2].lang_pred == at[3].lang_pred == "und" and at[1].score == 0
 
 
+def test_every_language_is_learned(docs_of, monkeypatch):
+    learned, learn = [], language_id.learn
+    monkeypatch.setattr(language_id, "learn", lambda rows: learned.extend(rows) or learn([]))
+    rows = [(200 * k + i, f"text {k} {i}", f"l{k:02}") for k in range(70) for i in range(5)] + [(50_000 + i, f"more {i}", "l00") for i in range(300)]
+    assert len(language_id.identify_languages(docs_of(rows)).collect()) == len(rows)
+    by_lang = Counter(lang for lang, _ in learned)
+    assert set(by_lang) == {x[2] for x in rows} and by_lang["l00"] == language_id.SAMPLE
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     way = language_id.Direction(rng)
