@@ -48,7 +48,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return out.withColumn("epochs", epochs).select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3, quality: Column | None = None, row: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3, quality: Column | None = None, row: Column | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of `docs` (doc_id, text, source).
 
     size: the text's words, 0 for null. A source gives whole epochs of all its documents first; what is left of its
@@ -61,15 +63,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     of the one bucket in which a source's target ends are sorted. So a source that holds most rows isn't gathered
     in a task. Nulls: a null source is a source, a null quality counts as 1. Equal rows have equal keys and may be
     taken in any order, which changes no count. Rows of no words are only taken with whole epochs. `quality`:
-    positive weights of documents, at most 1 for evenly filled buckets. `row`: a column of each row that its result
-    has too, as row, and that orders rows of equal keys. An empty table gives none."""
+    positive weights of documents, at most 1 for evenly filled buckets. `labels` (doc_id, quality) gives weights
+    instead, as `label_quality` does; it meets the rows when their texts are numbers already, so that no text is
+    shuffled for a label. `row`: a column of each row that its result has too, as row, and that orders rows of equal
+    keys. An empty table gives none."""
     shared_dir(docs.sparkSession)
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     weight = F.lit(1.0) if quality is None else F.coalesce(quality.cast("double"), F.lit(1.0))
     carried = [] if row is None else ["row"]
-    base = materialize(docs.select("doc_id", "source", size.alias("size"), (-F.ln(u) / weight).alias("key"), *([] if row is None else [row.alias("row")])))
+    base = docs.select("doc_id", "source", size.alias("size"), (-F.ln(u) / weight).alias("key"), *([] if row is None else [row.alias("row")]))
+    if labels is not None:
+        base = label_quality(base, labels).withColumn("key", F.col("key") / F.col("mix_quality")).drop("mix_quality")
+    base = materialize(base)
     buckets = max(LEAST_BUCKETS, base.count() // BUCKET_ROWS)
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") / 2)) * buckets), F.lit(buckets - 1)).cast("int")
     base = base.withColumn("bucket", bucket)
@@ -102,11 +109,14 @@ def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it: not at all, once or more times.
 
-    A row goes through the mix with its own copies, so rows without doc_id and rows that share one come as often as
+    The mix is made of numbers and a digest of each row; only its result meets the rows, in one shuffle. Equal rows
+    are one there, with the copies of all of them, so rows without doc_id and rows that share one come as often as
     the mix counted them."""
-    weighted = label_quality(docs, labels)
-    rows = mix(weighted, quality=weighted["mix_quality"], row=F.struct(*docs.columns)).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    name = F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])).cast("binary"))
+    taken = mix(docs, row=name, labels=labels).where("copies > 0").groupBy("row").agg(F.sum("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), name.alias("row")).groupBy("row").agg(F.first("whole").alias("whole"))
+    both = rows.join(materialize(taken), "row")
+    return both.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("whole.*")
 
 
 ORACLE = r"""

@@ -32,8 +32,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.label_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, quality=docs["mix_quality"])
+    return mixing.mix(documents(spark, sf_dir), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
