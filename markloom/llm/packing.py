@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,77 +12,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import materialize, shared_dir, slices, width
+from markloom.llm.common import materialize, shared_dir, slices
 
-#: Words whose ids a worker keeps, of either form.
-WORDS_KEPT = 450_000
-#: Ends of words that are tokens apart after a letter or digit.
-ENDS = b".,!?;:"
+#: Parts of words whose ids a worker keeps, in each of two generations.
+PARTS_KEPT = 150_000
+#: Parts encoded at once, and what stands between them.
+TOGETHER, MARK = 64, "\x01"
+#: Pieces of one length that are numbered together.
+RANKED = 100_000
+#: Ends of words that are tokens apart after a letter or digit that lower case leaves one character.
+ENDS = ".,!?;:"
+ENDED = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,!?;:]+$"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space and splits at it, as bytes of little-endian 32-bit ids.
+    """Ids of texts by a tokenizer that drops white space and splits at it.
 
-    ASCII white space separates pre-tokens whatever stands around it, so a text's ids are its words' ids; words are
-    looked up as they stand, then in lower case without a closing mark, and only then encoded."""
+    ASCII white space separates pre-tokens whatever stands around it, so a text's ids are its words' ids. The words of
+    a slice are made distinct first; then each is looked up in lower case without its closing marks, and encoded if it
+    is new. Parts last seen a generation ago go."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        parts, asked = {}, set()
-        for w in words:
-            core, tail = w.lower(), b""
-            bare = core.rstrip(ENDS)
-            if bare and len(bare) < len(core):
-                last = bare[-1:]
-                if last.isalnum() or (last >= b"\x80" and bare.decode("utf-8", "replace")[-1].isalpha()):
-                    core, tail = bare, core[len(bare) :]
-            parts[w] = (core, tail)
-            asked.add(core)
-            if tail:
-                asked.add(tail)
-        if len(self.cores) + len(asked) > WORDS_KEPT:
-            self.cores.clear()
-        new = [x for x in asked if x not in self.cores]
-        found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-        for x, e in zip(new, found):
-            self.cores[x] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) + len(parts) > WORDS_KEPT:
-            self.known.clear()
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = {w for w in set().union(*split) if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known.clear()
-                new = set().union(*split)
-            self.learn(new)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def parts(self, asked: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each of the different strings `asked`."""
+        if len(self.young) > PARTS_KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = [young.get(x) or old.get(x) for x in asked]
+        new = [x for x, ids in zip(asked, out) if ids is None and x]
+        found = dict(zip(new, self.encoded(new)))
+        out = [found.get(x, b"") if ids is None else ids for x, ids in zip(asked, out)]
+        young.update((x, ids) for x, ids in zip(asked, out) if ids)
+        return out
+
+    def encoded(self, new: list[str]) -> list[bytes]:
+        """As many parts at once as TOGETHER, between marks that are one token each; a part with a mark in it alone."""
+        plain = [x for x in new if MARK not in x]
+        texts = [f" {MARK} ".join(plain[k : k + TOGETHER]) + f" {MARK}" for k in range(0, len(plain), TOGETHER)]
+        ids = np.fromiter((i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids), "<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        data = ids.tobytes()
+        starts = np.r_[0, ends + 1]
+        found = dict(zip(plain, (data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+        return [found[x] if x in found else array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in new]
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by `end`; where each text's ids stop)."""
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        whole = pa.compute.ascii_lower(words.dictionary)
+        ended = pa.compute.match_substring_regex(whole, ENDED)
+        core = pa.compute.if_else(ended, pa.compute.ascii_rtrim(whole, ENDS), whole)
+        tail = pa.compute.if_else(ended, pa.compute.replace_substring_regex(whole, f"(?s)^.*[^{ENDS}]", ""), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids = self.parts(both.dictionary.to_pylist())
+        ids.append(np.array([end], "<u4").tobytes())
+        held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        core_at, tail_at = both.indices.to_numpy().reshape(2, -1)
+        of_words = words.indices.to_numpy()
+        counts = np.diff(split.offsets.to_numpy())
+        ends = 2 * np.cumsum(counts) + np.arange(1, len(counts) + 1)
+        order = np.full(2 * len(of_words) + len(counts), len(ids) - 1, np.int32)
+        there = np.ones(len(order), bool)
+        there[ends - 1] = False
+        order[there] = np.stack([core_at[of_words], tail_at[of_words]], axis=1).ravel()
+        taken = held.take(pa.array(order))
+        return taken.flatten().to_numpy(), (taken.offsets.to_numpy()[1:] - taken.offsets[0].as_py())[ends - 1]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, most: int, last: int) -> Iterator[pa.RecordBatch]:
-    ids_of, end = WordIds(path), np.array([last], "<u4").tobytes()
-    for part in slices(batches):
-        rows = []
-        for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist())):
-            view = memoryview(ids + end)
-            for k, at in enumerate(range(0, len(view), 4 * most)):
-                cut = view[at : at + 4 * most]
-                rows.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+    ids_of = WordIds(path)
+    for part in slices(batches, most=2 << 20):
+        rows, begin = [], 0
+        ids, ends = ids_of(part.column(1), last)
+        view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        for doc, stop in zip(part.column(0).to_pylist(), ends.tolist()):
+            for k, at in enumerate(range(begin, stop, most)):
+                n = min(most, stop - at)
+                rows.append((doc, k, at - begin, n, zlib.crc32(view[4 * at : 4 * (at + n)])))
+            begin = stop
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -171,23 +191,25 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> Dat
     `size`, of which the last may be shorter. Pieces lie in sequences of at most `size` ids, without gaps from
     offset 0. Only the numbers of pieces by length, at most `size` of them, come to the driver; the bins made there
     say for each rank of a length its sequence and offset, at most some ten rows a bin kind. Ranks are counted by
-    (length, salt), so that a length of very many pieces is numbered by many tasks.
+    (length, salt), a salt for RANKED pieces of a length, so that a length of very many pieces is numbered by many
+    tasks and the table of first ranks has at most `size` rows and one for each RANKED pieces.
 
     A null or empty text is the piece (end). Null and repeated doc_id are kept as they are; equal rows get any of
     their places. An empty table gives none; other columns are ignored. `tokenizer` must be at that path, or under
     that name in the installed public vocabularies, on every executor."""
     spark = docs.sparkSession
     shared_dir(spark)
-    salts = 4 * width(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialize(text.mapInArrow(lambda it: _pieces(it, tokenizer, size, end), _PIECES))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = materialize(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = _places(minimum_slack(lengths, size))
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in lengths.items()], "length long, salts int")
+    salted = pieces.join(F.broadcast(salts), "length")  # a row a length, `size` at most
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int"))
+    counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     upto = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = materialize(counts.select("length", "salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first")))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(own) - 1)
+    ranked = salted.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(own) - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(lambda it: _place(it, places), f"{_PIECES}, sequence_id long, offset long")
