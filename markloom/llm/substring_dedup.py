@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.blocks import pack_keys, rows_of, squeeze, to_units, unpack_keys
-from markloom.llm.common import materialize, release, shared_dir, width
+from markloom.llm.common import materialize, shared_dir, width
 
 #: Bytes of an anchor: each window of the minimum length selects the anchors with the smallest hash in it.
 ANCHOR = 24
 #: Bytes hashed at once, and bytes whose suffixes are sorted at once.
-HASHED, SORTED = 1 << 20, 3 << 20
+HASHED, SORTED = 1 << 20, 2_000_000
 #: Not in UTF-8: beyond a document's ends, and between strings.
 PAD, GAP = 0xFF, 0xFE
 NONE = np.iinfo(np.int64).max
@@ -80,22 +80,26 @@ def anchors(a: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np
 
 
 def suffix_order(a: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of `a` in the order of their first `depth` bytes or more, ties as they come."""
+    """Starts of the suffixes of `a` in the order of their first `depth` bytes or more, ties in any order."""
     n = len(a)
     padded = np.r_[a, np.zeros(8, np.uint8)].astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : k + n]
-    order, span = np.argsort(key, kind="stable"), 8
+    del padded
+    order, span = np.argsort(key), 8
+    bits = 21 if n < 1 << 21 else 32  # ranks of three or two neighbours fit in a key
     while True:
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
         if span >= depth or rank[order[-1]] == n:
             return order
-        key = rank << np.uint64(32) | np.r_[rank[span:], np.zeros(min(span, n), np.uint64)][:n]
-        order = np.argsort(key, kind="stable")
-        span *= 2
+        key = rank << np.uint64(64 - bits)
+        for k in range(1, 64 // bits):
+            key[: max(0, n - k * span)] |= rank[k * span :] << np.uint64(64 - bits * (k + 1))
+        order = np.argsort(key)
+        span *= 64 // bits
 
 
 def repeated_prefixes(a: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,33 +108,33 @@ def repeated_prefixes(a: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     Intervals of suffixes with a common prefix grow breadth first: an interval of length l, extended backward by each
     byte that its Burrows-Wheeler transform holds, gives intervals of length l + 1; the first to end at a place tells
     that the suffixes there have l bytes in common. Places that no interval shorter than `least` has ended at have
-    `least` in common or more, and expansion stops there (Beller, Gog, Ohlebusch and Schnattinger, 2013)."""
+    `least` in common or more, and expansion stops there (Beller, Gog, Ohlebusch and Schnattinger, 2013). Intervals of
+    one length don't overlap, so the rows of all of them are marked at the places they are mapped to, where runs of
+    one interval and one byte are the new intervals: no sorting."""
     n = len(a)
     order = suffix_order(a, least)
-    bwt = a[order - 1]
-    by_byte = np.argsort(bwt, kind="stable")
-    last_to_first = np.empty(n, np.int64)
-    last_to_first[by_byte] = np.arange(n)
+    by_byte = np.argsort(a[order - 1], kind="stable")
+    last_to_first = np.empty(n, np.int32)
+    last_to_first[by_byte] = np.arange(n, dtype=np.int32)
+    del by_byte
+    byte = a[order]
     common = np.ones(n + 1, bool)
     common[0] = False
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int64), np.array([n], np.int64)
+    came_from = np.full(n, -1, np.int32)
     for _ in range(least):
         if not len(low):
             break
         size = high - low
-        one = size == 1
-        lo, hi = [last_to_first[low[one]]], [last_to_first[low[one]] + 1]
-        low, size = low[~one], size[~one]
-        if len(low):
-            owner = np.repeat(np.arange(len(low)), size)
-            row = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-            kind = owner * 256 + bwt[row]
-            by_kind = np.argsort(kind, kind="stable")
-            kind, to = kind[by_kind], last_to_first[row[by_kind]]
-            cut = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-            lo.append(to[cut])
-            hi.append(to[cut] + np.diff(np.r_[cut, len(kind)]))
-        low, high = np.concatenate(lo), np.concatenate(hi)
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        row = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
+        to = last_to_first[row]
+        came_from[to] = owner
+        place = np.flatnonzero(came_from >= 0)
+        owner, kind = came_from[place], byte[place]
+        came_from[to] = -1
+        cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1])])
+        low, high = place[cut], place[np.r_[cut[1:], len(place)] - 1] + 1
         new = common[high]
         low, high = low[new], high[new]
         common[high] = False
@@ -139,8 +143,10 @@ def repeated_prefixes(a: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 
 def smallest_owner(strings: np.ndarray, owner: np.ndarray, least: int, starts: int) -> np.ndarray:
     """For rows of bytes: of each window of `least` bytes that starts in the first `starts`, the smallest owner of a
-    row that has it; NONE where the window reaches beyond a document."""
+    row that has it."""
     n, m = strings.shape
+    if not n:
+        return np.empty((0, starts), np.int64)
     a = np.full((n, m + 1), GAP, np.uint8)
     a[:, :m] = strings
     order, common = repeated_prefixes(a.ravel(), least)
@@ -153,13 +159,17 @@ def smallest_owner(strings: np.ndarray, owner: np.ndarray, least: int, starts: i
         cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         low = np.minimum.reduceat(owner[row], cut)
         out[row, at] = np.repeat(low, np.diff(np.r_[cut, len(group)]))
-    whole = np.cumsum(np.c_[np.zeros(n, int), strings == PAD], axis=1)
-    out[(whole[:, least : least + starts] - whole[:, :starts]) > 0] = NONE
     return out
 
 
+def beyond(strings: np.ndarray, least: int, starts: int) -> np.ndarray:
+    """Which windows of rows of bytes reach beyond their document."""
+    outside = np.cumsum(np.c_[np.zeros(len(strings), np.int16), strings == PAD], axis=1, dtype=np.int16)
+    return outside[:, least : least + starts] > outside[:, :starts]
+
+
 class Block:
-    """A block's texts, of which `copies` have no part in the search, and their anchors."""
+    """A block's texts and their anchors; `copies` have no part in the search."""
 
     def __init__(self, docs: pa.Table, copies: Iterable[int], least: int):
         gone = set(copies)
@@ -167,10 +177,11 @@ class Block:
         self.texts = [(r[1] or "").encode("utf-8", "replace") for r in self.rows]
         self.copy = [r[0] in gone for r in self.rows]
         self.least = least
-        self.ids = np.array([r[0] for r, c in zip(self.rows, self.copy) if not c and r[0] is not None], np.int64)
-        mine = [t for t, r, c in zip(self.texts, self.rows, self.copy) if not c and r[0] is not None]
-        self.a = np.frombuffer(b"".join(mine), np.uint8)
-        self.ends = np.cumsum([len(t) for t in mine], dtype=np.int64)
+        named = [(t, r[0], c) for t, r, c in zip(self.texts, self.rows, self.copy) if r[0] is not None]
+        self.ids = np.array([i for _, i, _ in named], np.int64)
+        self.apart = np.array([c for *_, c in named], bool)
+        self.a = np.frombuffer(b"".join(t for t, *_ in named), np.uint8)
+        self.ends = np.cumsum([len(t) for t, *_ in named], dtype=np.int64)
 
     def find(self) -> None:
         self.pos, self.key = anchors(self.a, self.ends, self.least)
@@ -207,7 +218,8 @@ def distinct_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
 _DIGESTS = "block long, doc_id long, digest binary"
 _KEYS = "shard int, block long, keys binary"
 _SHARED = "block long, shard int, doc_id long, payload binary"
-_STRINGS = "shard int, block long, payload binary"
+_STRINGS = "shard int, block long, payload binary, held binary"
+_OWNERS = "block long, shard int, doc_id long, payload binary, held binary"
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterable[tuple[int, pa.Table]]:
@@ -256,23 +268,19 @@ def _shared_rows(table: pa.Table) -> pa.Table:
 
 
 def _string_rows(key, docs: pa.Table, other: pa.Table, least: int, shards: int) -> pa.Table:
-    """The different strings around shared anchors with the smallest document that has each, by shard; and with no
-    shard, where in the block they are."""
+    """The different strings around shared anchors with the smallest document that has each, by shard; and, only to
+    come back with the answer, where in the block they are."""
     ids, shard_of, data = (other.column(c).to_pylist() for c in ("doc_id", "shard", "payload"))
     block = Block(docs, [i for i in ids if i is not None], least)
     block.find()
-    every = block
-    if any(block.copy):  # the shards were asked for the anchors of all texts
-        every = Block(docs, [], least)
-        every.find()
-    keys, _ = distinct_keys(every)
+    keys, _ = distinct_keys(block)
     shared = np.zeros(len(keys), bool)
     bits = {k: d for k, d in zip(shard_of, data) if d is not None}
     for k, at in by_shard(keys, shards):
         shared[at] = np.unpackbits(np.frombuffer(zstandard.decompress(bits[k]), np.uint8), count=len(at)).astype(bool)
-    keep = shared[np.searchsorted(keys, block.key)] if len(keys) else np.empty(0, bool)
+    keep = shared[np.searchsorted(keys, block.key)] & ~block.apart[block.owner] if len(keys) else np.empty(0, bool)
     pos, name, owner = block.pos[keep], block.key[keep], block.owner[keep]
-    rows, held = [], []
+    rows = []
     for k, at in by_shard(name, shards):
         strings = np.concatenate([block.strings(pos[x], owner[x]) for x in np.array_split(at, -(-len(at) // 20_000))])
         view = np.ascontiguousarray(np.c_[strings, np.zeros((len(strings), -strings.shape[1] % 8), np.uint8)]).view(np.uint64)
@@ -288,9 +296,9 @@ def _string_rows(key, docs: pa.Table, other: pa.Table, least: int, shards: int)
         index[order] = np.cumsum(new) - 1
         first = order[new]
         content = (name[at][first], strings[first].tobytes(), block.ids[owner[at[first]]])
-        rows.append((k, key[0].as_py(), squeeze(pickle.dumps(content), 1)))
-        held.append((k, pos[at], index))
-    rows.append((None, key[0].as_py(), squeeze(pickle.dumps(held), 1)))
+        where = np.argsort(pos[at])
+        held = pack_keys(pos[at][where].view(np.uint64)), index[where].astype("<u4").tobytes()
+        rows.append((k, key[0].as_py(), squeeze(pickle.dumps(content)), squeeze(pickle.dumps(held), 1)))
     return _table(_STRINGS, rows)
 
 
@@ -314,30 +322,37 @@ def _owner_rows(table: pa.Table, least: int) -> pa.Table:
         _, first, back = np.unique(view[at], return_index=True, return_inverse=True)
         least_owner = np.full(len(first), NONE)
         np.minimum.at(least_owner, back, owner[at])
-        out[at] = smallest_owner(strings[at[first]], least_owner, least, starts)[back]
+        found = np.repeat(least_owner[:, None], starts, axis=1)
+        anchor, times = np.unique(name[at[first]], return_counts=True)
+        differ = times[np.searchsorted(anchor, name[at[first]])] > 1  # the only string of its anchor has no other to meet
+        found[differ] = smallest_owner(strings[at[first[differ]]], least_owner[differ], least, starts)
+        found[beyond(strings[at[first]], least, starts)] = NONE
+        out[at] = found[back]
         low = high
     rows, at = [], 0
-    for block, shard, n in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), sizes):
+    for block, shard, held, n in zip(*(table.column(c).to_pylist() for c in ("block", "shard", "held")), sizes):
         mine = out[at : at + n]
         at += n
         change = np.c_[np.ones(n, bool), np.diff(mine, axis=1) != 0].ravel()
         content = (np.flatnonzero(change).astype(np.uint32), mine.ravel()[change])
-        rows.append((block, shard, None, squeeze(pickle.dumps(content), 1)))
-    return _table(_SHARED, rows)
+        rows.append((block, shard, None, squeeze(pickle.dumps(content), 1), held))
+    return _table(_OWNERS, rows)
 
 
 _SPANS = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
 def _span_rows(docs: pa.Table, other: pa.Table, least: int) -> pa.Table:
-    ids, shard_of, data = (other.column(c).to_pylist() for c in ("doc_id", "shard", "payload"))
+    ids, data, held = (other.column(c).to_pylist() for c in ("doc_id", "payload", "held"))
     block = Block(docs, [i for i in ids if i is not None], least)
     side, starts = least - ANCHOR, least - ANCHOR + 1
     edge = np.zeros(len(block.a) + 1, np.int32)
-    held = next((pickle.loads(zstandard.decompress(d)) for k, d in zip(shard_of, data) if d is not None and k is None), [])
-    found = {k: d for k, d in zip(shard_of, data) if d is not None and k is not None}
-    for k, pos, index in held:
-        place, low = pickle.loads(zstandard.decompress(found[k]))
+    for answer, asked in zip(data, held):
+        if answer is None:
+            continue
+        pos, index = pickle.loads(zstandard.decompress(asked))
+        pos, index = unpack_keys(pos).view(np.int64), np.frombuffer(index, "<u4")
+        place, low = pickle.loads(zstandard.decompress(answer))
         row, begin = np.divmod(place.astype(np.int64), starts)
         end = np.r_[begin[1:], 0]
         end[end == 0] = starts
@@ -354,6 +369,7 @@ def _span_rows(docs: pa.Table, other: pa.Table, least: int) -> pa.Table:
     out, low, n = [], 0, 0
     for (doc, *_), text, copy in zip(block.rows, block.texts, block.copy):
         if copy or doc is None:
+            low += len(text) if doc is not None else 0
             whole = bool(copy) and len(text) >= least
             out.append((doc, len(text), [{"start": 0, "end": len(text)}] if whole else [], b"" if whole else text))
             continue
@@ -396,11 +412,9 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     shared = packed.mapInArrow(lambda it: _key_rows(it, least, shards), _KEYS).groupBy("shard").applyInArrow(_shared_rows, _SHARED)
     shared = materialize(shared)
     side = shared.unionByName(copies)
-    strings = materialize(in_block.cogroup(side.groupBy("block")).applyInArrow(lambda k, l, r: _string_rows(k, l, r, least, shards), _STRINGS))
-    owners = strings.where("shard is not null").groupBy("shard").applyInArrow(lambda t: _owner_rows(t, least), _SHARED)
-    held = strings.where("shard is null").select("block", "shard", F.lit(None).cast("long").alias("doc_id"), "payload")
-    release(spark)
-    answers = owners.unionByName(held).unionByName(copies)
+    strings = in_block.cogroup(side.groupBy("block")).applyInArrow(lambda k, l, r: _string_rows(k, l, r, least, shards), _STRINGS)
+    owners = strings.groupBy("shard").applyInArrow(lambda t: _owner_rows(t, least), _OWNERS)
+    answers = owners.unionByName(copies.withColumn("held", F.lit(None).cast("binary")))
     return in_block.cogroup(answers.groupBy("block")).applyInArrow(lambda l, r: _span_rows(l, r, least), _SPANS)
 
 
