@@ -10,7 +10,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 
 from markloom.llm import bm25, fingerprints, language_id, mixing, ngram_join, packing, quality_lm, substring_dedup, token_counts, toxicity
 from markloom.llm.graph import components
@@ -321,6 +323,62 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() == pytest.approx(1)
 
 
+def plain_kneser_ney(trained):
+    """log p(byte | four bytes before it) of an interpolated modified Kneser-Ney model, by dictionaries of byte strings."""
+    tables = {5: Counter(x[i : i + 5] for t in trained for x in [b"\0" * 4 + t] for i in range(len(t)))}
+    for m in (4, 3, 2, 1):
+        tables[m] = Counter(g[1:] for g in tables[m + 1])
+    off, total, left = {}, {}, {}
+    for m, table in tables.items():
+        n = [max(1, sum(c == i for c in table.values())) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        off[m] = [0, *(min(i, max(0.1 * i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3))]
+        total[m], left[m] = Counter(), Counter()
+        for g, c in table.items():
+            total[m][g[:-1]] += c
+            left[m][g[:-1]] += off[m][min(c, 3)]
+
+    def p(gram, m):
+        if not m:
+            return 1 / 256
+        g = gram[-m:]
+        below = p(gram, m - 1)
+        if not total[m][g[:-1]]:
+            return below
+        c = tables[m][g]
+        return ((c - off[m][min(c, 3)] if c else 0) + left[m][g[:-1]] * below) / total[m][g[:-1]]
+
+    return lambda text: [math.log(p((b"\0" * 4 + text)[i : i + 5], 5)) for i in range(len(text))]
+
+
+def test_ngrams_of_parts_are_those_of_whole_texts(monkeypatch):
+    texts = [b"", b"abc", b"long text " * 40, b"x", b"tail"]
+    known = [True, False, True, True, False]
+    whole = quality_lm._types(texts, known)
+    assert whole[0].tolist() == np.unique(quality_lm.grams(texts)).tolist()
+    monkeypatch.setattr(quality_lm, "HELD_BYTES", 7)
+    for a, b in zip(whole, quality_lm._types(texts, known)):
+        assert a.tolist() == b.tolist()
+    keys, owner = (np.concatenate(x) for x in zip(*quality_lm.parts_of(texts)))
+    assert keys.tolist() == quality_lm.grams(texts).tolist() and np.bincount(owner, minlength=5).tolist() == [len(t) for t in texts]
+
+
+def test_perplexity_equals_a_plain_model(docs_of, spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(words(r.randrange(0, 40), i)) + "ñß"[: i % 3], "en") for i in range(60)] + [(None, "no name", None), (100, None, "en"), (100, "twice", "en"), (101, "x" * 9000, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)] + [(101, 1)], "doc_id long, quality int")
+    found = quality_lm.perplexities(docs_of(rows), labels).collect()
+    trained = [(t or "").encode() for i, t, _ in rows if i is not None and (i == 101 or i < 40 and i % 3 > 0) and zlib.crc32(str(i).encode()) % 5]
+    logs = plain_kneser_ney(trained)
+    expected = sorted((i or -1, len((t or "").encode()), -sum(logs((t or "").encode()))) for i, t, _ in rows)
+    got = sorted((x.doc_id or -1, x.n_bytes, x.nll) for x in found)
+    assert [x[:2] for x in got] == [x[:2] for x in expected]
+    for (_, n, a), (_, _, b) in zip(got, expected):
+        assert abs(a - b) <= n * 0.51 / quality_lm.FINE
+    again = quality_lm.perplexities(docs_of(rows).repartition(7), labels).collect()
+    assert sorted((x.doc_id or -1, x.n_bytes, x.nll) for x in again) == got
+
+
 def test_quality(docs_of, spark):
     r = random.Random(1)
     good = [(i, " ".join(words(r.randrange(20, 60), i)), "en" if i % 2 else None) for i in range(300)]
@@ -424,26 +482,65 @@ def test_gradients():
         assert grads[name][place] == pytest.approx((up - down) / 2e-3, rel=1e-2, abs=1e-3)
 
 
-def test_search(docs_of, odd_rows):
-    rows = [*[(i, " ".join(words(10 + i % 40, i // 2))) for i in range(200)], *[(300 + i, None) for i in range(3)], (None, "fox1 dog2")]
-    found = bm25.top_documents(docs_of(rows), every=20, k=5).collect()
+def ranked_by_hand(rows, every, k):
+    """{query: [(doc_id, score)]}: every document scored, terms in the order of their hashes, ties by doc_id."""
     tf = [(i, Counter((t or "").encode().lower().split())) for i, t in rows]
     n, df = len(tf), Counter(w for _, c in tf for w in c)
     mean = sum(sum(c.values()) for _, c in tf) / n
+    out = {}
     for q, asked in tf:
-        if q is None or q % 20:
+        if q is None or q % every:
             continue
         scores = []
+        terms = sorted(asked, key=lambda w: xxhash.xxh3_64_intdigest(w) >> 1)
         for i, c in tf:
-            length = sum(c.values())
-            s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length / mean)) for w, m in asked.items() if w in c)
+            norm = 1.2 * (1 - 0.75 + 0.75 * sum(c.values()) / mean)
+            s = sum(asked[w] * np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * (c[w] * 2.2 / (c[w] + norm)) for w in terms if w in c)
             if s > 0 and i is not None:
-                scores.append((-round(s, 9), i))
+                scores.append((-s, i))
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def test_search(docs_of, odd_rows):
+    rows = [*[(i, " ".join(words(10 + i % 40, i // 2))) for i in range(200)], *[(300 + i, None) for i in range(3)], (None, "fox1 dog2")]
+    found = bm25.top_documents(docs_of(rows), every=20, k=5).collect()
+    for q, best in ranked_by_hand(rows, 20, 5).items():
         got = sorted((x.rank, x.doc_id, x.score) for x in found if x.query_id == q)
-        assert [round(-s, 6) for s, _ in sorted(scores)[:5]] == [round(s, 6) for _, _, s in got]
+        assert [round(s, 6) for _, s in best] == [round(s, 6) for _, _, s in got]
     assert bm25.top_documents(docs_of(odd_rows)).collect() is not None
 
 
+def test_search_ranks_equal_texts_by_doc_id(docs_of):
+    r = random.Random(8)
+    texts = [" ".join(words(r.randrange(3, 60), k)) for k in range(30)]
+    rows = [(i, texts[(i * 7 + i // 60) % 30]) for i in range(400)] + [(1000 + i, " ".join(r.sample(texts[i].split(), 3))) for i in range(30)]
+    expected = ranked_by_hand(rows, 20, 10)
+    for parts in (1, 9):  # units are dealt into several indexes
+        found = bm25.top_documents(docs_of(rows).repartition(parts), every=20, k=10).collect()
+        got = {q: [(x.doc_id, x.score) for x in sorted((x for x in found if x.query_id == q), key=lambda x: x.rank)] for q in expected}
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in expected.items()}
+        assert all(a == pytest.approx(b) for q in got for (_, a), (_, b) in zip(got[q], expected[q]))
+
+
+def test_search_skips_postings(monkeypatch):
+    r = random.Random(5)
+    common = [f"often{k}" for k in range(8)]
+    rows = [(i, " ".join([*r.sample(common, 6), *words(12, i // 30)])) for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    units = pa.Table.from_batches(list(bm25._units([batch], 20, 3)))
+    docs = [x["payload"] for x in units.to_pylist() if x["kind"] == bm25.DOCUMENTS]
+    index = bm25.Index(docs, 18.0)
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    text = rows[60][1].split()
+    names = sorted({xxhash.xxh3_64_intdigest(w.encode()) >> 1: w for w in text}.items())
+    weight = np.array([math.log(1 + (1500 - df[w] + 0.5) / (df[w] + 0.5)) for _, w in names])
+    _, doc, score = index.search(np.zeros(len(names), int), np.array([h for h, _ in names], np.uint64), weight, 1, 10)
+    assert index.skipped > 5 * index.read > 0
+    plain = sorted(((-sum(x * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t.split()) / 18)) for (_, w), x in zip(names, weight) if w in t.split())), i) for i, t in rows)[:10]
+    assert [round(-s, 9) for s, _ in plain] == [round(s, 9) for s in score.tolist()]
+
+
 @pytest.mark.parametrize("run", [
     lambda d, e: ngram_join.ngram_components(d),
     lambda d, e: substring_dedup.repeated_spans(d),
