@@ -20,6 +20,8 @@ from markloom.llm.common import slices, text_bytes, width
 
 BLOCK_BYTES = 16 << 20
 UNIT_BYTES = 256 << 10, 16 << 20
+#: Text that is packed at once.
+PACKED_BYTES = 8 << 20
 
 
 def block_count(docs: DataFrame) -> int:
@@ -46,7 +48,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, most=BLOCK_BYTES):
+    for part in slices(batches, most=PACKED_BYTES):
         block = np.array(part.column("block").to_pylist(), np.int64)
         order = np.argsort(block, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.llm.blocks import block_count, block_of, pack_keys, rows_of, squeeze, to_blocks, unpack_keys
-from markloom.llm.common import materialize, shared_dir, width
+from markloom.llm.common import materialize, shared_dir, tidied, width
 
 #: Bytes of an n-gram. The key of the n-gram b0..b4 is b3 b2 b1 b0 b4, so that each shorter context is a prefix.
 ORDER = 5
@@ -21,8 +21,11 @@ HELD = 5
 #: Bytes at the language's mean that are added to each document, so that short ones are judged with care.
 PRIOR_BYTES = 50
 QUANTILE, SLACK = 0.99, 1.03
-#: Steps of a nat in which quantiles are counted.
-STEPS = 1000
+#: Steps of a nat in which quantiles are counted, and in which logarithms of probabilities are sent: a byte's is at
+#: most half of the latter off, so a text's perplexity by at most one part in 4000.
+STEPS, FINE = 1000, 2048
+#: Bytes of text whose n-grams are held at once.
+HELD_BYTES = 1 << 19
 
 _U8 = np.uint64(8)
 
@@ -60,19 +63,51 @@ def _texts(rows: list[tuple]) -> list[bytes]:
     return [(r[1] or "").encode("utf-8", "replace") for r in rows]
 
 
+def parts_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys of n-grams, the text each is of), for HELD_BYTES of texts at a time; long texts come in parts."""
+    keep = ORDER - 1
+    held, owner, total = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), HELD_BYTES):
+            cut = text[max(0, at - keep) : at + HELD_BYTES]
+            new = min(len(text), at + HELD_BYTES) - at
+            if total + new > HELD_BYTES and held:
+                yield np.concatenate(held), np.repeat(*map(np.array, zip(*owner)))
+                held, owner, total = [], [], 0
+            key = grams([cut])[-new:]
+            held.append(key)
+            owner.append((i, new))
+            total += new
+    if held:
+        yield np.concatenate(held), np.repeat(*map(np.array, zip(*owner)))
+
+
 _TYPES = "shard int, block int, types binary, counts binary"
 
 
+def _types(texts: list[bytes], known: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of texts, and how often those that are `known` have each."""
+    types, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    trained = np.array(known, bool)
+    for key, owner in parts_of(texts):
+        key = key << np.uint64(1) | trained[owner]
+        key.sort()
+        start = np.flatnonzero(np.r_[True, key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)])
+        new, times = key[start] >> np.uint64(1), np.add.reduceat((key & np.uint64(1)).astype(np.int64), start)
+        both = np.concatenate([types, new])
+        order = np.argsort(both, kind="stable")
+        types, counts = both[order], np.concatenate([counts, times])[order]
+        start = np.flatnonzero(np.r_[True, types[1:] != types[:-1]])
+        types, counts = types[start], np.add.reduceat(counts, start)
+    return types, counts
+
+
+@tidied
 def _count(block: int, docs: pa.Table, trusted: pa.Table, shards: int) -> pa.Table:
     """All distinct n-grams of a block by shard, with how often trained-on documents have them."""
     good = set(trusted.column("doc_id").to_pylist())
     rows = rows_of(docs) if docs.num_rows else []
-    known = [r[0] in good and not held_out(r[0]) for r in rows]
-    texts = _texts(rows)
-    key = np.concatenate([grams(t for t, k in zip(texts, known) if not k) << np.uint64(1), grams(t for t, k in zip(texts, known) if k) << np.uint64(1) | np.uint64(1)])
-    key.sort()
-    types, start = np.unique(key >> np.uint64(1), return_index=True)
-    counts = np.add.reduceat((key & np.uint64(1)).astype(np.int64), start) if len(types) else np.empty(0, np.int64)
+    types, counts = _types(_texts(rows), [r[0] in good and not held_out(r[0]) for r in rows])
     shard = shard_of(types, shards)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -104,6 +139,7 @@ def lower(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys >> np.uint64(16) << _U8 | keys & np.uint64(255), return_counts=True)
 
 
+@tidied
 def _statistics(table: pa.Table) -> pa.Table:
     """(kind, at, n): numbers of n-grams counted 1 to 4 times by order (kind 0), and continuation counts of order 2."""
     _, keys, counts = _merged(table)
@@ -148,8 +184,9 @@ def order_two(continued: dict[int, int]) -> np.ndarray:
     return p
 
 
+@tidied
 def _score(table: pa.Table, off: dict[int, list[float]], two: np.ndarray) -> pa.Table:
-    """Natural logarithms of the probabilities of each block's n-grams in one shard, as half floats."""
+    """Minus the natural logarithms of the probabilities of each block's n-grams in one shard, in steps of 1 / FINE."""
     types, keys, counts = _merged(table)
     asked = np.unique(np.concatenate(types))
     orders = []
@@ -160,36 +197,38 @@ def _score(table: pa.Table, off: dict[int, list[float]], two: np.ndarray) -> pa.
     p = two[cut(asked, 2).astype(np.int64)]
     for order, k, c in reversed(orders):
         p = interpolate(cut(asked, order), p, k, c, off[order])
-    logs = np.log(p).astype(np.float16)
+    logs = np.minimum(np.rint(-np.log(p) * FINE), 65535).astype("<u2")
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "logs": pa.array([squeeze(logs[np.searchsorted(asked, t)].tobytes(), 1) for t in types], pa.binary())})
 
 
 _SCORES = "doc_id long, lang string, trusted boolean, n_bytes long, nll double"
 
 
+@tidied
 def _sum(docs: pa.Table, logs: pa.Table, trusted: pa.Table, shards: int) -> pa.Table:
     rows = rows_of(docs)
     texts = _texts(rows)
-    key = grams(texts)
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, np.diff(key[order]) != 0] if len(key) else np.empty(0, bool)
-    types = key[order][new]
+    types, _ = _types(texts, [False] * len(texts))
     shard = shard_of(types, shards)
     log = np.zeros(len(types))
     for k, data in zip(logs.column("shard").to_pylist(), logs.column("logs").to_pylist()):
-        log[shard == k] = np.frombuffer(zstandard.decompress(data), np.float16)
-    each = np.empty(len(key))
-    each[order] = log[np.cumsum(new) - 1]
-    ends = np.cumsum([0, *map(len, texts)])
-    sums = np.r_[0.0, np.cumsum(each)]
+        log[shard == k] = np.frombuffer(zstandard.decompress(data), "<u2")
+    sums = np.zeros(len(texts))
+    for key, owner in parts_of(texts):
+        order = np.argsort(key)
+        new = np.r_[True, np.diff(key[order]) != 0]
+        place = np.empty(len(key), np.int64)
+        place[order] = np.searchsorted(types, key[order][new])[np.cumsum(new) - 1]
+        sums += np.bincount(owner, log[place], len(texts))
+    sums /= FINE
     good = set(trusted.column("doc_id").to_pylist())
     return pa.table(
         {
             "doc_id": pa.array([r[0] for r in rows], pa.int64()),
             "lang": pa.array([r[2] for r in rows], pa.string()),
             "trusted": pa.array([r[0] in good for r in rows], pa.bool_()),
-            "n_bytes": pa.array(np.diff(ends), pa.int64()),
-            "nll": pa.array(-(sums[ends[1:]] - sums[ends[:-1]]), pa.float64()),
+            "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+            "nll": pa.array(sums, pa.float64()),
         }
     )
 
@@ -211,7 +250,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return _count(key[0].as_py(), left, right, shards)
 
     types = materialize(to_blocks(text, blocks).groupBy("block").cogroup(good.groupBy("block")).applyInArrow(counted, _TYPES))
-    found = types.groupBy("shard").applyInArrow(_statistics, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
+    found = types.groupBy("shard").applyInArrow(lambda t: _statistics(t), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     seen = {r["at"]: r["n"] for r in found if r["kind"] == 0}
     off = {m: discounts([seen.get(10 * m + i, 0) for i in range(1, 5)]) for m in range(3, ORDER + 1)}
     two = order_two({r["at"]: r["n"] for r in found if r["kind"] == 1})

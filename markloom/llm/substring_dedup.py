@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.blocks import pack_keys, rows_of, squeeze, to_units, unpack_keys
-from markloom.llm.common import materialize, shared_dir, width
+from markloom.llm.common import materialize, shared_dir, tidied, width
 
 #: Bytes of an anchor: each window of the minimum length selects the anchors with the smallest hash in it.
 ANCHOR = 24
@@ -251,6 +251,7 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(fields, columns)})
 
 
+@tidied
 def _shared_rows(table: pa.Table) -> pa.Table:
     """For each block, which of its keys in this shard two documents have, in one block or in two."""
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
@@ -267,6 +268,7 @@ def _shared_rows(table: pa.Table) -> pa.Table:
     return _table(_SHARED, rows)
 
 
+@tidied
 def _string_rows(key, docs: pa.Table, other: pa.Table, least: int, shards: int) -> pa.Table:
     """The different strings around shared anchors with the smallest document that has each, by shard; and, only to
     come back with the answer, where in the block they are."""
@@ -302,6 +304,7 @@ def _string_rows(key, docs: pa.Table, other: pa.Table, least: int, shards: int)
     return _table(_STRINGS, rows)
 
 
+@tidied
 def _owner_rows(table: pa.Table, least: int) -> pa.Table:
     """For each block's strings in this shard, by start of a window: the smallest document that has the window."""
     m, starts = 2 * least - ANCHOR, least - ANCHOR + 1
@@ -342,6 +345,7 @@ def _owner_rows(table: pa.Table, least: int) -> pa.Table:
 _SPANS = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
+@tidied
 def _span_rows(docs: pa.Table, other: pa.Table, least: int) -> pa.Table:
     ids, data, held = (other.column(c).to_pylist() for c in ("doc_id", "payload", "held"))
     block = Block(docs, [i for i in ids if i is not None], least)
@@ -409,7 +413,7 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     copies = digests.join(first, "digest").where("doc_id > first").select("block", F.lit(None).cast("int").alias("shard"), "doc_id", F.lit(None).cast("binary").alias("payload"))
     copies = materialize(copies.distinct())
     in_block = packed.groupBy("block")
-    shared = packed.mapInArrow(lambda it: _key_rows(it, least, shards), _KEYS).groupBy("shard").applyInArrow(_shared_rows, _SHARED)
+    shared = packed.mapInArrow(lambda it: _key_rows(it, least, shards), _KEYS).groupBy("shard").applyInArrow(lambda t: _shared_rows(t), _SHARED)
     shared = materialize(shared)
     side = shared.unionByName(copies)
     strings = in_block.cogroup(side.groupBy("block")).applyInArrow(lambda k, l, r: _string_rows(k, l, r, least, shards), _STRINGS)
