@@ -13,12 +13,13 @@ from markloom.llm.common import slices
 
 #: Documents of a language to learn from, smallest hashes of doc_id first.
 SAMPLE = 160
-#: Units of each direction. Texts are read in strips of STRIP bytes, each from a zero state.
-UNITS, STRIP = 8, 256
-#: Strips of a document that training draws, steps, strips a step, and the rate of Adam.
-DRAWN, STEPS, BATCH, RATE = 6, 260, 96, 0.02
-#: Strips run at once.
-TOGETHER = 1024
+#: Units of each direction. Texts are read in strips of STRIP bytes; each way begins CONTEXT bytes before its strip, so
+#: that the state at a strip's first byte knows what stands before it.
+UNITS, STRIP, CONTEXT = 12, 512, 64
+#: Bytes of a training strip, steps, strips a step, and the rate of Adam.
+TRAINED, STEPS, BATCH, RATE = 256, 260, 96, 0.02
+#: Strips run at once, and a multiple of how many, so that products of matrices have few shapes.
+TOGETHER, MULTIPLE = 1024, 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,11 +40,14 @@ class Direction:
             "c": rng.normal(0, 0.3, (UNITS, UNITS)).astype(np.float32),
         }
 
-    def states(self, data: np.ndarray, kept: list | None = None) -> Iterator[np.ndarray]:
-        """The state after each column of `data` (steps, strips); kept: gets what backpropagation needs."""
+    def states(self, data: np.ndarray, real: np.ndarray, kept: list | None = None) -> Iterator[np.ndarray]:
+        """The state after each column of `data` (steps, strips); kept: gets what backpropagation needs.
+
+        Where `real` (steps, strips) is 0 stands padding: the state is 0 after it, so whichever way it is read, a
+        strip's states don't depend on how much padding it has."""
         e, u, c = self.p["e"], self.p["u"], self.p["c"]
         h = np.zeros((UNITS, data.shape[1]), np.float32)
-        for column in data:
+        for column, mask in zip(data, real):
             x = e.take(column, axis=1)
             gates = u @ h
             gates += x[: 2 * UNITS]
@@ -54,8 +58,9 @@ class Direction:
             new += x[2 * UNITS :]
             np.tanh(new, out=new)
             if kept is not None:
-                kept.append((column, h, z, r, rh, new))
+                kept.append((column, h, z, r, rh, new, mask))
             h = h + z * (new - h)
+            h *= mask
             yield h
 
     def backward(self, kept: list, outer: np.ndarray) -> dict[str, np.ndarray]:
@@ -63,8 +68,8 @@ class Direction:
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         dh = np.zeros_like(outer[0])
         for t in range(len(kept) - 1, -1, -1):
-            column, h, z, r, rh, new = kept[t]
-            dh = dh + outer[t]
+            column, h, z, r, rh, new, mask = kept[t]
+            dh = (dh + outer[t]) * mask
             dnew = dh * z * (1 - new * new)
             drh = self.p["c"].T @ dnew
             dz = dh * (new - h) * z * (1 - z)
@@ -86,17 +91,18 @@ class Network:
         self.ways = (Direction(rng), Direction(rng))
         self.out = {"w": rng.normal(0, 0.3, (len(languages), 2 * UNITS)).astype(np.float32), "b": np.zeros((len(languages), 1), np.float32)}
 
-    def train(self, strips: np.ndarray, real: np.ndarray, labels: np.ndarray, seed: int = 11) -> None:
-        """By Adam, on the mean over labelled bytes of the cross entropy; strips (n, STRIP) padded by zero bytes."""
+    def train(self, strips: list[list[bytes]], seed: int = 11) -> None:
+        """By Adam, on the mean over bytes of the cross entropy; a strip is drawn from those of a language drawn first."""
         rng = np.random.default_rng(seed)
+        taught = [k for k, own in enumerate(strips) if own]
         weights = [*self.ways[0].p.values(), *self.ways[1].p.values(), *self.out.values()]
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         for step in range(1, STEPS + 1):
-            at = rng.integers(0, len(strips), BATCH)
-            data, mask, want = strips[at].T.astype(np.intp), real[at].T, labels[at]
+            want = np.array(taught)[rng.integers(0, len(taught), BATCH)]
+            data, mask = padded([strips[k][rng.integers(0, len(strips[k]))] for k in want.tolist()], TRAINED, BATCH)
             kept: tuple[list, list] = ([], [])
-            there = np.stack(list(self.ways[0].states(data, kept[0])))
-            back = np.stack(list(self.ways[1].states(data[::-1], kept[1])))[::-1]
+            there = np.stack(list(self.ways[0].states(data, mask, kept[0])))
+            back = np.stack(list(self.ways[1].states(data[::-1], mask[::-1], kept[1])))[::-1]
             both = np.concatenate([there, back], axis=1)
             logits = np.einsum("lu,tun->tln", self.out["w"], both) + self.out["b"]
             logits -= logits.max(1, keepdims=True)
@@ -117,53 +123,62 @@ class Network:
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Per text: the mean over its bytes of the probabilities of languages."""
-        strips, owner, length = [], [], []
+        strips, owner, before, counted = [], [], [], []
         for i, t in enumerate(texts):
             for at in range(0, len(t), STRIP):
-                strips.append(t[at : at + STRIP])
+                low = max(0, at - CONTEXT)
+                strips.append(t[low : at + STRIP + CONTEXT])
                 owner.append(i)
+                before.append(at - low)
+                counted.append(min(STRIP, len(t) - at))
+        before, counted, owner = (np.array(x, np.int64) for x in (before, counted, owner))
         sums, n = np.zeros((len(texts), len(self.languages))), np.maximum(1, [len(t) for t in texts])
         order = sorted(range(len(strips)), key=lambda k: -len(strips[k]))
         for low in range(0, len(order), TOGETHER):
-            some = order[low : low + TOGETHER]
-            length = np.array([len(strips[k]) for k in some])
-            data = np.frombuffer(b"".join(strips[k].ljust(length[0], b"\0") for k in some), np.uint8).reshape(len(some), -1).T.astype(np.intp)
-            # logits of the backward states are kept, the forward ones meet them; padding stands first for the backward way
+            some = np.array(order[low : low + TOGETHER])
+            data, real = padded([strips[k] for k in some], len(strips[some[0]]), -(-len(some) // MULTIPLE) * MULTIPLE)
+            # logits of the backward states are kept, the forward ones meet them
             w, b = self.out["w"], self.out["b"]
-            held = np.empty((len(data), len(self.languages), len(some)), np.float32)
-            for t, h in zip(range(len(data) - 1, -1, -1), self.ways[1].states(data[::-1])):
+            held = np.empty((len(data), len(self.languages), data.shape[1]), np.float32)
+            for t, h in zip(range(len(data) - 1, -1, -1), self.ways[1].states(data[::-1], real[::-1])):
                 held[t] = w[:, UNITS:] @ h
-            total = np.zeros((len(self.languages), len(some)), np.float32)
-            for t, h in enumerate(self.ways[0].states(data)):
+            total = np.zeros((len(self.languages), data.shape[1]))
+            own = np.zeros((len(data) + 1, data.shape[1]), np.int8)
+            at = np.arange(len(some))
+            own[before[some], at] = 1
+            own[before[some] + counted[some], at] -= 1
+            for t, (h, mine) in enumerate(zip(self.ways[0].states(data, real), np.cumsum(own[:-1], axis=0, dtype=np.int8))):
                 logits = held[t]
                 logits += w[:, :UNITS] @ h
                 logits += b
                 np.exp(logits, out=logits)
-                logits /= logits.sum(0)
-                live = int(np.searchsorted(-length, -t, "left"))
-                total[:, :live] += logits[:, :live]
-            np.add.at(sums, np.array(owner)[some], total.T)
+                logits *= mine / logits.sum(0)
+                total += logits
+            np.add.at(sums, owner[some], total[:, : len(some)].T)
         return sums / n[:, None]
 
 
+def padded(strips: list[bytes], steps: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, 1 where they are real): columns of `steps` bytes, `width` of them."""
+    data = np.zeros((width, steps), np.uint8)
+    data[: len(strips)] = np.frombuffer(b"".join(s.ljust(steps, b"\0") for s in strips), np.uint8).reshape(-1, steps)
+    length = np.zeros(width, np.int64)
+    length[: len(strips)] = [len(s) for s in strips]
+    return np.ascontiguousarray(data.T).astype(np.intp), (np.arange(steps)[:, None] < length).astype(np.float32)
+
+
 def learn(rows: list[tuple[str, str]]) -> Network | None:
-    """From (language, text): strips from all over each text."""
+    """From (language, text): all strips of all texts may be drawn."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    rng = np.random.default_rng(5)
-    strips, labels = [], []
+    strips: list[list[bytes]] = [[] for _ in languages]
     for lang, text in rows:
         data = text.encode("utf-8", "replace")
-        for at in sorted({int(x) for x in rng.integers(0, max(1, len(data) - STRIP // 2), DRAWN)}):
-            if cut := data[at : at + STRIP]:
-                strips.append(cut)
-                labels.append(languages.index(lang))
+        strips[languages.index(lang)] += [data[at : at + TRAINED] for at in range(0, len(data), TRAINED)]
     network = Network(languages)
-    if len(languages) > 1 and strips:
-        data = np.frombuffer(b"".join(s.ljust(STRIP, b"\0") for s in strips), np.uint8).reshape(-1, STRIP)
-        real = (np.arange(STRIP) < np.array([len(s) for s in strips])[:, None]).astype(np.float32)
-        network.train(data, real, np.array(labels))
+    if sum(map(bool, strips)) > 1:
+        network.train(strips)
     return network
 
 
@@ -186,9 +201,10 @@ def identify_languages(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFr
     """(doc_id, held_out, lang_pred, score) for each row of `docs` (doc_id, text, lang).
 
     Learns, on the driver, from text and lang of documents for which crc32(doc_id as text) mod `folds` is not `held`:
-    SAMPLE of each language at most. Predicts from whole texts alone: every byte gets
-    probabilities of languages, of which a document's mean decides; score is that of the language said. No row moves
-    to be predicted.
+    SAMPLE of each language at most, their whole texts. Predicts from whole texts alone: every byte gets
+    probabilities of languages, of which a document's mean decides; score is that of the language said. What a byte
+    gets depends on its strip and CONTEXT bytes on either side, not on the texts beside it. No row moves to be
+    predicted.
 
     `und`, with score 0, for a null text, one without a letter, or if nothing was learned. Rows without doc_id aren't
     held out and not learned from; equal texts get equal answers. Other columns are ignored; an empty table gives none."""

@@ -223,7 +223,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     feature, owner = feature[order], owner[order]
     starts = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]]) if len(feature) else np.empty(0, int)
     held = np.diff(np.r_[starts, len(feature)])
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n), np.int32)
     for d in range(2, min(DENSE, n + 1)):
         rows = owner[starts[held == d][:, None] + np.arange(d)]
         for i in range(d):
@@ -238,7 +238,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
         which = np.repeat(np.arange(len(some)), held[some])
         place = np.arange(len(which)) - np.repeat(np.cumsum(held[some]) - held[some], held[some])
         here[owner[starts[some][which] + place], which] = 1
-        both += here @ here.T
+        both += (here @ here.T).astype(np.int32)  # less than 2 ** 24 columns at once: exact
     np.fill_diagonal(both, [len(s) for s in sets])
     return both.astype(np.int64)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -85,7 +86,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     whole, begun = lexicon(words)
     hits = [i for i, (x, y) in enumerate(zip(whole, begun)) if x or y]
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
-    near = sum(any(abs(i - j) <= 5 for j in second) for i in hits) if second else 0
+    near = sum((k := bisect_left(second, i - 5)) < len(second) and second[k] <= i + 5 for i in hits)
     counted, started = sum(x > 0 for x in whole), sum(x > 0 for x in begun)
     letters = sum(map(str.isupper, text)) if lower != text else 0
     plain_marks = text.count(".") + text.count(",") + text.count(" ") + text.count("\n")

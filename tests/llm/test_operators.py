@@ -102,6 +102,19 @@ def test_components_of_a_path(spark):
     assert found == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    from markloom.llm import graph
+
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or keep(df))
+    found = components(spark.createDataFrame([(i + 1, i) for i in range(1000)], "a long, b long")).collect()
+    assert {r.component for r in found} == {0} and len(found) == 1001 and len(written) <= 16
+    order = [(k * 619) % 1000 for k in range(1000)]
+    found = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert {r.component for r in found} == {0} and len(found) == 1000
+
+
 def brute_spans(rows, least):
     seen, out = {}, {}
     for i, t in sorted(rows):
@@ -429,6 +442,16 @@ def test_toxicity(docs_of, spark):
     assert sum(found[i].predicted == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
 
 
+def test_hits_near_the_second_person():
+    r = random.Random(3)
+    for _ in range(50):
+        text = " ".join(r.choice(["you", "vile", "plain", "word", "your"]) for _ in range(r.randrange(0, 60)))
+        got = toxicity.features(text, toxicity.Lexicon({"vile": 2.0}, {}))
+        w = text.split()
+        hits, second = ([i for i, x in enumerate(w) if x in s] for s in (("vile",), ("you", "your")))
+        assert got[6] == sum(any(abs(i - j) <= 5 for j in second) for i in hits) / max(1, len(hits))
+
+
 def test_toxicity_odd(docs_of, odd_rows, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.score_toxicity(docs_of(odd_rows), none).collect()
@@ -468,9 +491,10 @@ def test_gradients():
     outer = rng.normal(size=(5, language_id.UNITS, 3))
     for k in way.p:
         way.p[k] = way.p[k].astype(np.float64)
-    loss = lambda: sum(float((o * h).sum()) for o, h in zip(outer, way.states(data)))
+    real = (np.arange(5)[:, None] >= np.array([0, 2, 1])).astype(np.float32)  # padding comes first, as it does for the backward way
+    loss = lambda: sum(float((o * h).sum()) for o, h in zip(outer, way.states(data, real)))
     kept: list = []
-    list(way.states(data, kept))
+    list(way.states(data, real, kept))
     grads = way.backward(kept, outer)
     for name, place in (("u", (1, 2)), ("c", (0, 3)), ("e", (4, int(data[1, 1])))):
         was = way.p[name][place]
@@ -541,6 +565,50 @@ def test_search_skips_postings(monkeypatch):
     assert [round(-s, 9) for s, _ in plain] == [round(s, 9) for s in score.tolist()]
 
 
+def looped(network, text):
+    """The network's mean probabilities for a text, byte by byte and unit by unit."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    n = language_id.UNITS
+
+    def run(way, data):
+        e, u, c = (way.p[k].astype(float) for k in "euc")
+        h, out = [0.0] * n, []
+        for x in data:
+            gate = [sigmoid(e[k, x] + sum(u[k, i] * h[i] for i in range(n))) for k in range(2 * n)]
+            new = [math.tanh(e[2 * n + k, x] + sum(c[k, i] * gate[n + i] * h[i] for i in range(n))) for k in range(n)]
+            h = [a + z * (b - a) for a, z, b in zip(h, gate, new)]
+            out.append(h)
+        return out
+
+    total = [0.0] * len(network.languages)
+    for at in range(0, len(text), language_id.STRIP):
+        low, high = max(0, at - language_id.CONTEXT), min(len(text), at + language_id.STRIP + language_id.CONTEXT)
+        there, back = run(network.ways[0], text[low:high]), run(network.ways[1], text[low:high][::-1])[::-1]
+        for t in range(at - low, min(len(text), at + language_id.STRIP) - low):
+            x = np.exp(network.out["w"].astype(float) @ np.array(there[t] + back[t]) + network.out["b"][:, 0])
+            total += x / x.sum()
+    return np.array(total) / len(text)
+
+
+def test_network_equals_loops_and_forgets_its_neighbours():
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"abcdef \xc3\xa9") for _ in range(n)) for n in (1, 7, 63, 300, 512, 513, 700, 1200)]
+    network = language_id.Network(["a", "b", "c"])
+    for way in network.ways:
+        way.p["u"] *= 3
+    together = network.pooled(texts)
+    for text, p in zip(texts, together):
+        assert p == pytest.approx(looped(network, text), abs=1e-4)
+        assert p == pytest.approx(network.pooled([text])[0], abs=1e-6)
+        assert p == pytest.approx(network.pooled([text, b"x" * 5000, b"y"])[0], abs=1e-6)
+
+
+def test_languages_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, other = ({x.doc_id: (x.lang_pred, round(x.score, 5)) for x in language_id.identify_languages(d).collect()} for d in (docs.coalesce(1), docs.repartition(6)))
+    assert one == other
+
+
 @pytest.mark.parametrize("run", [
     lambda d, e: ngram_join.ngram_components(d),
     lambda d, e: substring_dedup.repeated_spans(d),
