@@ -73,7 +73,7 @@ def mask_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_suppkey AS mask, (l_partkey % 12)::INT AS x0, (l_orderkey % 9)::INT AS y0, (l_quantity * 5)::INT AS v FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH r AS (SELECT l_suppkey AS mask, (l_partkey % 12)::INT AS x0, (l_orderkey % 9)::INT AS y0, (l_quantity * 5)::INT AS v FROM lineitem),
 p AS (SELECT mask, x0 + dx AS x, y0 + dy AS y, v FROM r, range(3) a(dx), range(2) b(dy)), m AS (SELECT mask, x, y, max(v) AS v FROM p GROUP BY mask, x, y)
 SELECT mask, count(*) AS pixels, sum(v)::BIGINT AS total, min(x) AS left_, max(x) AS right_, min(y) AS top, max(y) AS bottom, round(avg(v), 6) AS mean, count(*) FILTER (v >= 128) AS solid FROM m GROUP BY mask
 """)

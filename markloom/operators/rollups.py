@@ -51,8 +51,8 @@ def job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_custkey, epoch_ms(o_orderdate) AS created_at FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_custkey % 4 = 1
-ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 10
+SELECT o_orderkey, o_custkey, epoch_ms(o_orderdate) AS created_at FROM orders WHERE o_orderstatus IN ('O', 'P')
+ORDER BY o_orderdate DESC, o_orderkey
 """)
 def unfinished_jobs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All unfinished jobs, newest first, with a total order."""

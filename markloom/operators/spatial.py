@@ -55,7 +55,7 @@ def fuse_greedily(boxes_of_page: Column) -> Column:
 
 
 @query(f"""
-WITH RECURSIVE b AS (SELECT * FROM ({BOXES_SQL}) WHERE page % 4 = 0), n AS (SELECT page, max(id) AS n FROM b GROUP BY page),
+WITH RECURSIVE b AS (SELECT * FROM ({BOXES_SQL})), n AS (SELECT page, max(id) AS n FROM b GROUP BY page),
 f AS (SELECT page, 0 AS k, []::STRUCT(ids INT[], x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS c FROM n
   UNION ALL
   SELECT f.page, k + 1, CASE WHEN b.id IS NULL THEN c ELSE (

@@ -128,7 +128,7 @@ def regression_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'batch' WHEN 'view' THEN 'overlay' WHEN 'click' THEN 'repeated' WHEN 'purchase' THEN 'text_ocr' ELSE 'info_stamp' END AS source, value FROM events WHERE event_id % 29 = 0),
+WITH s AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'batch' WHEN 'view' THEN 'overlay' WHEN 'click' THEN 'repeated' WHEN 'purchase' THEN 'text_ocr' ELSE 'info_stamp' END AS source, value FROM events),
 c AS (SELECT user_id, source, max(least(1, greatest(0, value / 500 * CASE source WHEN 'text_ocr' THEN 0.9::DOUBLE ELSE 1 END))) AS s FROM s GROUP BY 1, 2),
 o AS (SELECT *, source IN ('overlay', 'repeated', 'info_stamp') AS h, row_number() OVER w AS k, bool_and(source IN ('overlay', 'repeated', 'info_stamp')) OVER w AS all_h FROM c WINDOW w AS (PARTITION BY user_id ORDER BY s DESC, source)),
 f AS (SELECT user_id, count(*) AS sources, bool_and(h) AS only_h, exp(sum(CASE WHEN k = 1 THEN ln(greatest(1e-300::DOUBLE, 1 - s)) ELSE ln(1 - s * CASE WHEN all_h THEN 0.15::DOUBLE ELSE 0.6::DOUBLE END) END)) AS miss FROM o GROUP BY user_id)
@@ -161,7 +161,7 @@ def combined_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT l_orderkey AS file_id, CASE l_linenumber WHEN 1 THEN 'residual' WHEN 2 THEN 'blur' WHEN 3 THEN 'color_shift' WHEN 4 THEN 'edge_artifact' WHEN 5 THEN 'outside_change' ELSE 'structure' END AS kind, l_discount * 10 AS severity FROM lineitem WHERE l_quantity < 20),
+WITH i AS (SELECT l_orderkey AS file_id, CASE l_linenumber WHEN 1 THEN 'residual' WHEN 2 THEN 'blur' WHEN 3 THEN 'color_shift' WHEN 4 THEN 'edge_artifact' WHEN 5 THEN 'outside_change' ELSE 'structure' END AS kind, l_discount * 10 AS severity FROM lineitem),
 w AS (SELECT *, CASE kind WHEN 'residual' THEN 0.6::DOUBLE WHEN 'blur' THEN 0.3 WHEN 'color_shift' THEN 0.4 WHEN 'edge_artifact' THEN 0.3 ELSE 1 END AS weight FROM i)
 SELECT file_id, round(greatest(0, 1 - sum(severity * weight)), 6) AS score, NOT bool_or(kind IN ('outside_change', 'structure')) AND round(greatest(0, 1 - sum(severity * weight)), 6) >= 0.6 AS passed, count(*) AS issues FROM w GROUP BY file_id
 """)
@@ -170,7 +170,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markloom.functions import rules
 
     kinds = F.array(*map(F.lit, rules.ISSUE_WEIGHTS))
-    i = table(spark, sf_dir, "lineitem").where("l_quantity < 20").select(F.col("l_orderkey").alias("file_id"), F.element_at(kinds, F.least(F.col("l_linenumber"), F.lit(6))).alias("kind"), (F.col("l_discount") * 10).alias("severity"))
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.element_at(kinds, F.least(F.col("l_linenumber"), F.lit(6))).alias("kind"), (F.col("l_discount") * 10).alias("severity"))
     i = i.withColumn("kind", F.when(F.col("kind") == "outside_change", "outside_change").otherwise(F.col("kind")))
     score = F.round(F.greatest(F.lit(0.0), 1 - F.sum(F.col("severity") * rules.issue_weight(F.col("kind")))), 6)
     r = i.groupBy("file_id").agg(score.alias("score"), F.bool_or(F.col("kind").isin(*rules.BLOCKING_ISSUES)).alias("blocked"), F.count("*").alias("issues"))

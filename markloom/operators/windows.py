@@ -102,7 +102,7 @@ def gaps_and_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN '' WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'purchase' THEN 'c' ELSE 'd' END AS symbol, value, ts FROM events WHERE user_id < 60),
+WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN '' WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'purchase' THEN 'c' ELSE 'd' END AS symbol, value, ts FROM events),
 o AS (SELECT *, lag(symbol) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s)
 SELECT user_id, coalesce(string_agg(symbol, '' ORDER BY ts, event_id) FILTER (symbol <> '' AND (before IS NULL OR before <> symbol)), '') AS decoded, round(avg(value) FILTER (symbol <> '' AND (before IS NULL OR before <> symbol)), 5) AS score FROM o GROUP BY user_id
 """)

@@ -1,4 +1,4 @@
-"""Queries that read whole tables, against their registered SQL without the filters and limits that it still has."""
+"""Queries that once read parts of tables, against their SQL on tables large enough for a cut to drop rows."""
 
 from __future__ import annotations
 
@@ -10,21 +10,20 @@ import pytest
 from markloom.plans import catalog
 from tests.conftest import DATA, rows_of
 
-#: Query, folder of tables large enough for the cut to drop rows, and the parts of the SQL to leave out.
-CUTS = [
-    ("greedy_fuse", DATA, [" WHERE page % 4 = 0"]),
-    ("mask_raster", DATA, [" WHERE l_orderkey % 50 = 0"]),
-    ("combined_confidence", DATA, [" WHERE event_id % 29 = 0"]),
-    ("greedy_decode", "/root/testdata/sf0.01", [" WHERE user_id < 60"]),
-    ("unfinished_jobs_page", DATA, [" AND o_custkey % 4 = 1", " LIMIT 20 OFFSET 10"]),
+WHOLE = [
+    ("greedy_fuse", DATA),
+    ("mask_raster", DATA),
+    ("combined_confidence", DATA),
+    ("quality_score", DATA),
+    ("greedy_decode", "/root/testdata/sf0.01"),
+    ("unfinished_jobs_page", DATA),
 ]
 
 
-@pytest.mark.parametrize("name, folder, cuts", CUTS, ids=[c[0] for c in CUTS])
-def test_query_reads_whole_tables(name, folder, cuts, spark):
+@pytest.mark.parametrize("name, folder", WHOLE, ids=[w[0] for w in WHOLE])
+def test_query_reads_whole_tables(name, folder, spark):
     sql = catalog.oracle_sql()[name]
-    for cut in cuts:
-        sql = sql.replace(cut, "")
+    assert not any(cut in sql for cut in (" % 29", " % 50", " % 4 ", "user_id < ", "l_quantity < ", "LIMIT"))
     c = duckdb.connect()
     c.sql("SET TimeZone='UTC'")
     for f in sorted(Path(folder).glob("*.parquet")):
