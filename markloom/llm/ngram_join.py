@@ -21,6 +21,8 @@ from markloom.llm.graph import components
 WORDS_KEPT = 400_000
 #: Shingles and documents of a block of a large candidate group; a task holds two blocks.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1_200
+#: By so much the bands of sizes in a large group are wider than linked sizes can differ, for rounding.
+WIDER = 1 + 1e-9
 #: Shingles in at least so many documents of a task are counted by matrix products, others by their pairs.
 DENSE = 12
 
@@ -245,8 +247,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _linked(key: tuple, table: pa.Table, n: int, num: int, den: int) -> pa.Table:
     """Links of a candidate group, or between two of its blocks: a row (a, smallest document joined to a, copies linked)."""
-    _, left, right = (k.as_py() if hasattr(k, "as_py") else k for k in key)
-    ids, copies, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "copies", "block"))
+    _, left, right = (k.as_py() if hasattr(k, "as_py") else k for k in key)  # blocks' names
+    ids, copies = (np.array(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "copies"))
+    block = np.array(table.column("block").to_pylist())
     shingle = Shingler(n)
     sets = [shingle(t) for t in table.column("text").to_pylist()]
     size = np.array([len(s) for s in sets], np.int64)
@@ -272,8 +275,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     Equal sets are one class, held by its smallest doc_id. Slices of documents send each shard their signatures
     with the smallest document only, so a signature of very many documents costs a shard one entry a slice.
     Documents joined by shared signatures are a candidate group; no link leaves one. Each group is joined exactly
-    in one task by its shingles; a group of more than BLOCK_SHINGLES or BLOCK_DOCS is dealt into blocks, and each
-    two blocks meet in a task, so that no task holds more. Tasks return a row a document, not its pairs.
+    in one task by its shingles; a group of more than BLOCK_SHINGLES or BLOCK_DOCS is dealt into bands of sizes, in
+    which linked documents lie in one band or in neighbours, and bands into blocks; blocks of one band or of
+    neighbours meet in a task, so that no task holds more than two. Tasks return a row a document, not its pairs.
 
     A null, empty or blank text has the empty set and links with nothing. Rows without doc_id keep n_shingles, have
     no links and a null component. Rows that repeat a doc_id are texts of one document, in one component. Other
@@ -292,15 +296,29 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     )
     reps = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"), F.sum("n_shingles").alias("n_shingles"))
     asked = materialize(group.join(reps, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "copies", "n_shingles"))
-    sizes = asked.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).where("docs > 1")
-    sizes = materialize(sizes.select("part", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    asked = materialize(asked.drop("n_shingles").join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    tasks = (
-        text.join(asked, "doc_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-        .select("part", "left", "right", "block", "doc_id", "copies", "text")
+
+    def blocks(rows: DataFrame, *by: str) -> DataFrame:
+        sums = rows.groupBy(*by).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+        return sums.select(*by, "docs", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+    large = materialize(blocks(asked, "part").where("docs > 1").select("part", (F.col("blocks") > 1).alias("large")))
+    band = F.when(F.col("large"), F.floor(F.log("n_shingles") / float(np.log(den / num * WIDER)))).otherwise(0).cast("int")
+    asked = materialize(asked.join(large, "part").withColumn("band", band))
+    sizes = materialize(blocks(asked, "part", "band").select("part", "band", "blocks"))
+    near = sizes
+    for step, name in ((-1, "below"), (1, "above")):
+        near = near.join(sizes.select("part", (F.col("band") - step).alias("band"), F.col("blocks").alias(name)), ["part", "band"], "left")
+    near = materialize(near.fillna(0, ["below", "above"]))
+    asked = asked.drop("n_shingles", "large").join(near, ["part", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    name_of = lambda step, block: F.format_string("%d/%d", F.col("band") + step, block)
+    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    meet = F.concat(
+        F.transform(numbers("blocks"), lambda o: F.struct(name_of(0, F.least("own", o)).alias("left"), name_of(0, F.greatest("own", o)).alias("right"))),
+        F.transform(numbers("above"), lambda o: F.struct(name_of(0, F.col("own")).alias("left"), name_of(1, o).alias("right"))),
+        F.transform(numbers("below"), lambda o: F.struct(name_of(-1, o).alias("left"), name_of(0, F.col("own")).alias("right"))),
     )
+    asked = materialize(asked.select("part", "doc_id", "copies", name_of(0, F.col("own")).alias("block"), meet.alias("meet")))
+    tasks = text.join(asked, "doc_id").select("part", F.explode("meet").alias("task"), "block", "doc_id", "copies", "text").select("part", "task.left", "task.right", "block", "doc_id", "copies", "text")
     links = materialize(tasks.groupBy("part", "left", "right").applyInArrow(lambda key, t: _linked(key, t, n, num, den), "a long, b long, links long"))
     joined = components(links.select("a", "b"))
     counted = links.groupBy("a").agg(F.sum("links").alias("links"))

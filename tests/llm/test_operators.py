@@ -73,6 +73,16 @@ def test_ngram_join_in_blocks(docs_of, monkeypatch):
     assert found == joined(rows, 3, 9, 10)
 
 
+def test_ngram_join_in_bands(docs_of, monkeypatch):
+    """Chains of texts that grow by a word or lose one reach over many bands of sizes."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    base = words(120, 77)
+    rows = [(i, " ".join(base[: 4 + 3 * i])) for i in range(38)] + [(100 + i, " ".join(base[i : i + 8 + 2 * i])) for i in range(30)]
+    for n, num, den in ((3, 9, 10), (5, 4, 5)):
+        found = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_components(docs_of(rows), n, num, den).collect()}
+        assert found == joined(rows, n, num, den)
+
+
 def test_partenum_signatures_meet():
     r, enum = random.Random(3), ngram_join.PartEnum(4, 5)
     for _ in range(300):
