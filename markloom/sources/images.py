@@ -228,7 +228,7 @@ def _probed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append({"path": path, **probe(data), "dpi": dpi(data), "error": None})
             except (Unreadable, struct.error, IndexError, KeyError) as e:
                 rows.append({"path": path, "error": e.args[0] if isinstance(e, Unreadable) else "decode"})
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROBED.split(", ")])
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROBED.split(", ")], dtype=object)  # Arrow takes no chunked text columns
 
 
 def probe_images(files: DataFrame) -> DataFrame:
