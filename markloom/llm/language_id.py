@@ -15,7 +15,7 @@ from markloom.llm.common import slices
 SAMPLE = 160
 #: Units of each direction. Texts are read in strips of STRIP bytes; each way begins CONTEXT bytes before its strip, so
 #: that the state at a strip's first byte knows what stands before it.
-UNITS, STRIP, CONTEXT = 12, 512, 64
+UNITS, STRIP, CONTEXT = 10, 512, 64
 #: Bytes of a training strip, steps, strips a step, and the rate of Adam.
 TRAINED, STEPS, BATCH, RATE = 256, 260, 96, 0.02
 #: Strips run at once, and a multiple of how many, so that products of matrices have few shapes.
