@@ -17,6 +17,8 @@ from markloom.llm.blocks import pack_keys, unpack_keys
 from markloom.llm.common import materialize, shared_dir, slices, width
 from markloom.llm.graph import components
 
+#: A signature need hold no more features than this.
+FEATURES = 16
 #: Words whose hashes a worker keeps before it starts anew.
 WORDS_KEPT = 400_000
 #: Shingles and documents of a block of a large candidate group; a task holds two blocks.
@@ -72,10 +74,12 @@ class PartEnum:
     Sizes fall into bands whose ends differ by that ratio at most, so linked sets are in one band or in neighbours;
     each set signs for its own band and the next. In a band, linked sets differ in at most k features. The feature
     domain is cut into n1 parts of n2 cells each; with at most k differences some part has at most k2 of them, hence
-    some n2 - k2 of its cells are equal, and each such choice of cells is a signature. A choice without features tells
-    nothing and isn't one. To spoil the others of a part takes k2 + 1 differences, or as many as it has filled cells if
-    that is less; `spare` parts more, and one in 16, make up for those. A set whose parts can all be spoiled by k
-    differences also signs with the features of its prefix in hash order, of which linked sets share one."""
+    some n2 - k2 of its cells are equal, and each such choice of cells is a signature. Choices with few features are met
+    by chance, or by one passage that two texts share, and would chain texts that are not alike. So a set signs only
+    with choices of at least so many features that k differences, spent in the fullest cells, cannot spoil them all;
+    of two linked sets the one that asks for more is sure of a choice that both sign with. `spare` parts more, and one
+    in 8, raise that number. A set whose choices can all be spoiled also signs with the features of its prefix in hash
+    order, of which linked sets share one."""
 
     def __init__(self, num: int, den: int, spare: int = 6):
         self.num, self.den, self.spare = num, den, spare
@@ -94,11 +98,21 @@ class PartEnum:
         k = (self.den - self.num) * 2 * self.tops[band] // (self.den + self.num)
         if not k:
             return None
-        n2, k2 = (3, 1) if k >= 16 else (1, 0)
-        n1 = k // (k2 + 1) + k // (k2 + 1) // 16 + self.spare
+        n2, k2 = (4, 2) if k >= 16 else (1, 0)
+        n1 = k // (k2 + 1) + k // (k2 + 1) // 8 + self.spare
         choices = list(combinations(range(n2), n2 - k2))
         return k, n1, n2, k2, choices, [seed_of(self.num, self.den, band, i) for i in range(len(choices) + 1)]
 
+    @staticmethod
+    def least(filled: np.ndarray, k: int, k2: int) -> int:
+        """The largest number of features, up to FEATURES, such that k differences leave some part a choice of equal
+        cells with so many; 0 if not even one feature is sure. `filled`: features by part and cell."""
+        chosen = filled.shape[1] - k2
+        large = -np.sort(-filled, axis=1)
+        # Differences do most harm in a part's fullest cells: best[:, h] is what a choice can hold after h of them.
+        best = np.stack([large[:, h : h + chosen].sum(1) for h in range(k2 + 1)], axis=1)
+        return min(FEATURES, int(np.partition(best, best.size - k - 1, axis=None)[best.size - k - 1])) if best.size > k else 0
+
     def sign(self, features: np.ndarray) -> np.ndarray:
         size, out = len(features), []
         if not size:
@@ -116,13 +130,14 @@ class PartEnum:
                 np.add.at(sums, cell, mix(h))
                 filled = np.bincount(cell, minlength=n1 * n2)
                 sums, filled = sums.reshape(n1, n2), filled.reshape(n1, n2)
+                least = self.least(filled, k, k2)
                 part = np.arange(n1, dtype=np.uint64)
                 for choice, seed in zip(choices, seeds[1:]):
-                    here = filled[:, choice].sum(1) > 0
+                    here = filled[:, choice].sum(1) >= max(least, 1)
                     out.append(mix(sums[:, choice].sum(1, dtype=np.uint64) + mix(part + seed))[here])
-                if np.minimum(k2 + 1, (filled > 0).sum(1)).sum() <= k:
-                    least = -(-self.num * size // self.den)
-                    out.append(mix(np.sort(h)[: size - least + 1] ^ seeds[0]))
+                if not least:
+                    common = -(-self.num * size // self.den)
+                    out.append(mix(np.sort(h)[: size - common + 1] ^ seeds[0]))
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 

@@ -96,6 +96,24 @@ def test_partenum_signatures_meet():
             assert len(np.intersect1d(enum.sign(a), enum.sign(b)))
 
 
+def test_partenum_differences_in_the_fullest_cells():
+    rng = np.random.default_rng(5)
+    for num, den, size in ((4, 5, 9), (4, 5, 40), (4, 5, 80), (4, 5, 700), (9, 10, 300)):
+        enum = ngram_join.PartEnum(num, den)
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        own = enum.band(size)
+        k, n1, n2, _, _, seeds = enum.plan(own)
+        with np.errstate(over="ignore"):
+            h = ngram_join.mix(base + seeds[0])
+        cell = ((h >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(int)
+        held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        # One feature out of each of the fullest cells, as many as a linked set may lack.
+        lacking = size - -(-num * size // den)
+        cells = [p * n2 + c for p in np.argsort(-held.max(1)) for c in np.argsort(-held[p])[:3] if held[p, c]][:lacking]
+        other = np.delete(base, [int(np.flatnonzero(cell == c)[0]) for c in cells])
+        assert len(np.intersect1d(enum.sign(base), enum.sign(other))), (num, den, size)
+
+
 def test_ngram_join_odd(docs_of, odd_rows):
     rows = ngram_join.ngram_components(docs_of(odd_rows)).collect()
     assert len(rows) == len(odd_rows)
