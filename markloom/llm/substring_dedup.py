@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.blocks import pack_keys, rows_of, squeeze, to_units, unpack_keys
-from markloom.llm.common import materialize, shared_dir, tidied, width
+from markloom.llm.common import materialize, release, shared_dir, tidied, width
 
 #: Bytes of an anchor: each window of the minimum length selects the anchors with the smallest hash in it.
 ANCHOR = 24
@@ -422,22 +422,34 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     return in_block.cogroup(answers.groupBy("block")).applyInArrow(lambda l, r: _span_rows(l, r, least), _SPANS)
 
 
-def _whole(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for batch in batches:
-        text = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
+def _without(text: str | None, spans: list[dict] | None) -> str | None:
+    """The text without spans of its UTF-8 bytes, and without what is left of a character that a span cuts."""
+    if text is None or not spans:
+        return text
+    data = text.encode("utf-8", "replace")
+    starts, ends = [0, *(s["end"] for s in spans)], [*(s["start"] for s in spans), len(data)]
+    return b"".join(data[x:y] for x, y in zip(starts, ends)).decode("utf-8", "ignore")
+
+
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([_without(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.string())
 
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """`docs` with the repeated spans of their texts removed, and n_chars, where there is one, counted anew.
 
     Bytes left of a character that a span cuts go too; a text may become empty, its row stays. Null texts stay null.
-    Rows that repeat a doc_id must have one text."""
+    Rows that repeat a doc_id must have one text. Only spans are written and met with the rows, so that each text is
+    shuffled once; the join is by sort at every size."""
+    spark = docs.sparkSession
     found = repeated_spans(docs.select("doc_id", "text"), least).where("size(spans) > 0")
-    clean = materialize(found.select("doc_id", "kept").mapInArrow(_whole, "doc_id long, text string")).dropDuplicates(["doc_id"])
-    d, c = docs.alias("d"), clean.alias("c")
-    joined = d.join(c, F.col("d.doc_id") == F.col("c.doc_id"), "left")
-    own = {"text": F.coalesce("c.text", "d.text")}
+    spans = materialize(found.groupBy("doc_id").agg(F.min("spans").alias("spans")))
+    release(spark)
+    d, c = docs.alias("d"), spans.hint("merge").alias("c")
+    joined = d.join(c, F.col("d.doc_id").cast("long") == F.col("c.doc_id"), "left")
+    cut = F.arrow_udf(_cut, "string")(F.col("d.text").cast("string"), F.col("c.spans"))
+    own = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("c.doc_id").isNull(), F.col("d.n_chars")).otherwise(F.length("c.text")).cast("long")
-    return joined.select(*[own[c].alias(c) if c in own else F.col(f"d.{c}") for c in docs.columns])
+        own["n_chars"] = F.when(F.col("gone").isNull(), F.col("kept.n_chars")).otherwise(F.length("cut")).cast("long")
+    joined = joined.select(F.struct("d.*").alias("kept"), F.col("c.doc_id").alias("gone"), cut.alias("cut"))
+    return joined.select(*[own[c].alias(c) if c in own else F.col(f"kept.`{c}`") for c in docs.columns])
