@@ -10,11 +10,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.blocks import pack_keys, unpack_keys
-from markloom.llm.common import materialize, shared_dir, slices, width
+from markloom.llm.blocks import pack_keys, squeeze, unpack_keys
+from markloom.llm.common import materialize, scratch, shared_dir, slices, tidied, width
 from markloom.llm.graph import components
 
 #: A signature need hold no more features than this.
@@ -25,6 +26,8 @@ WORDS_KEPT = 400_000
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1_200
 #: By so much the bands of sizes in a large group are wider than linked sizes can differ, for rounding.
 WIDER = 1 + 1e-9
+#: Counters of shingles in large groups: between these, and by so many shingles each as long as that lies between.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTED = 1 << 16, 1 << 22, 8
 #: Shingles in at least so many documents of a task are counted by matrix products, others by their pairs.
 DENSE = 12
 
@@ -158,6 +161,32 @@ def _nodes(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         )
 
 
+def _by_shard(signed: list[tuple[int, np.ndarray]], shards: int) -> pa.RecordBatch:
+    """Rows of _SIGNED for (document, signatures)."""
+    sig = np.concatenate([x[1] for x in signed]) >> np.uint64(16)
+    doc = np.repeat(np.array([x[0] for x in signed], np.int64), [len(x[1]) for x in signed])
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    new = np.r_[True, sig[1:] != sig[:-1]]
+    low = doc[new][np.cumsum(new) - 1]
+    keep = ~new & (doc != low)
+    rows = []
+    if keep.any():
+        pairs = np.unique(np.stack([doc[keep], low[keep]], axis=1), axis=0)
+        rows.append((int(sig[0] % np.uint64(shards)), True, pairs.tobytes()))
+    sig, doc = sig[new], doc[new]
+    shard = (sig >> np.uint64(20)).astype(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k, (x, y) in enumerate(zip(ends, ends[1:])):
+        if y > x:
+            at = order[x:y]
+            docs, index = np.unique(doc[at], return_inverse=True)
+            content = (pack_keys(sig[at]), pack_keys(docs.view(np.uint64)), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes())
+            rows.append((k, False, pickle.dumps(content)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["shard", "pairs", "payload"])
+
+
 def _signed(batches: Iterable[pa.RecordBatch], n: int, num: int, den: int, shards: int) -> Iterator[pa.RecordBatch]:
     """A slice's signatures by shard, each with the smallest document that has it; and, as pairs, the other documents
     with a signature, each linked to the smallest. 48 bits of a signature are kept: one more meeting costs a check."""
@@ -175,28 +204,55 @@ def _signed(batches: Iterable[pa.RecordBatch], n: int, num: int, den: int, shard
         signed = [x for x in first.values() if len(x[1])]
         if not signed:
             continue
-        sig = np.concatenate([x[1] for x in signed]) >> np.uint64(16)
-        doc = np.repeat(np.array([x[0] for x in signed], np.int64), [len(x[1]) for x in signed])
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        low = doc[new][np.cumsum(new) - 1]
-        keep = ~new & (doc != low)
-        rows = []
-        if keep.any():
-            pairs = np.unique(np.stack([doc[keep], low[keep]], axis=1), axis=0)
-            rows.append((int(sig[0] % np.uint64(shards)), True, pairs.tobytes()))
-        sig, doc = sig[new], doc[new]
-        shard = (sig >> np.uint64(20)).astype(np.int64) % shards
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
-        for k, (x, y) in enumerate(zip(ends, ends[1:])):
-            if y > x:
-                at = order[x:y]
-                docs, index = np.unique(doc[at], return_inverse=True)
-                content = (pack_keys(sig[at]), pack_keys(docs.view(np.uint64)), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes())
-                rows.append((k, False, pickle.dumps(content)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["shard", "pairs", "payload"])
+        yield _by_shard(signed, shards)
+
+
+_COUNTERS = "piece int, counts binary"
+
+
+def counter_of(shingles: np.ndarray, counters: int) -> np.ndarray:
+    return (shingles >> np.uint64(20)).astype(np.int64) % counters
+
+
+def _counters(batches: Iterable[pa.RecordBatch], n: int, counters: int, pieces: int) -> Iterator[pa.RecordBatch]:
+    """Of all texts of a task, how many shingles fall on each counter, by piece of the counters."""
+    shingle, total = Shingler(n), np.zeros(counters, np.uint32)
+    for part in slices(batches):
+        for text in part.column("text").to_pylist():
+            np.add.at(total, counter_of(shingle(text), counters), 1)
+    rows = [(k, squeeze(x.astype("<u4").tobytes(), 1)) for k, x in enumerate(np.array_split(total, pieces)) if x.any()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["piece", "counts"])
+
+
+@tidied
+def _summed(table: pa.Table) -> pa.Table:
+    """A piece of the counters, summed up, with 16 bits each: what exceeds them is frequent enough."""
+    total = 0
+    for data in table.column("counts").to_pylist():
+        total = total + np.frombuffer(zstandard.decompress(data), "<u4").astype(np.int64)
+    return pa.table({"piece": table.column("piece").cast(pa.int32())[:1], "counts": pa.array([squeeze(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())})
+
+
+def rare_prefix(shingles: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of a set that come first by (counter, hash), so many that sets with num/den of their union in
+    common share one of them: both sets order by the same numbers, whatever these are."""
+    first = len(shingles) + (-num * len(shingles) // den) + 1
+    return shingles[np.lexsort((shingles, often[counter_of(shingles, len(often))]))[:first]]
+
+
+def _prefixed(batches: Iterable[pa.RecordBatch], n: int, num: int, den: int, shards: int, often) -> Iterator[pa.RecordBatch]:
+    """Rows of _SIGNED for documents of large groups: their rare prefixes, each group's for itself."""
+    shingle, counts = Shingler(n), None
+    for piece in slices(batches):
+        counts = often.value if counts is None else counts
+        signed = []
+        for doc, part, text in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "part", "text"))):
+            prefix = rare_prefix(shingle(text), counts, num, den)
+            if len(prefix):
+                signed.append((doc, mix(prefix ^ mix(np.array([part], np.int64).view(np.uint64)))))
+        if signed:
+            yield _by_shard(signed, shards)
 
 
 def _meet(table: pa.Table, parts: int) -> pa.Table:
@@ -281,6 +337,29 @@ def _linked(key: tuple, table: pa.Table, n: int, num: int, den: int) -> pa.Table
     return pa.table({"a": pa.array(ids), "b": pa.array(low), "links": pa.array(count.astype(np.int64))})
 
 
+def _grouped(signed: DataFrame, shards: int) -> DataFrame:
+    """(node, component): documents joined by the signatures of rows of _SIGNED."""
+    met = signed.groupBy("shard").applyInArrow(lambda t: _meet(t, shards), "part int, pairs binary")
+    return components(met.groupBy("part").applyInArrow(_pairs, "a long, b long"))
+
+
+def _refined(text: DataFrame, large: DataFrame, shingles: int, n: int, num: int, den: int, shards: int) -> DataFrame:
+    """(node, component) of the documents `large` (doc_id, part), which lie in large groups: those that share a shingle
+    of their rare prefixes stay joined. `shingles`: how many they have."""
+    spark = text.sparkSession
+    with scratch(spark):
+        texts = materialize(text.join(large, "doc_id").select("doc_id", "part", "text"))
+        counters = min(max(LEAST_COUNTERS, 1 << (shingles // COUNTED).bit_length()), MOST_COUNTERS)
+        counted = texts.mapInArrow(lambda it: _counters(it, n, counters, shards), _COUNTERS).groupBy("piece").applyInArrow(lambda t: _summed(t), _COUNTERS)
+        often = [np.zeros(len(x), "<u2") for x in np.array_split(np.empty(counters, np.uint8), shards)]
+        for row in counted.collect():
+            often[row["piece"]] = np.frombuffer(zstandard.decompress(row["counts"]), "<u2")
+        often = spark.sparkContext.broadcast(np.concatenate(often))
+        found = materialize(_grouped(texts.mapInArrow(lambda it: _prefixed(it, n, num, den, shards, often), _SIGNED), shards), kept=True)
+        often.destroy()
+    return found
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id) for each row of `docs` (doc_id, text).
 
@@ -289,8 +368,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
 
     Equal sets are one class, held by its smallest doc_id. Slices of documents send each shard their signatures
     with the smallest document only, so a signature of very many documents costs a shard one entry a slice.
-    Documents joined by shared signatures are a candidate group; no link leaves one. Each group is joined exactly
-    in one task by its shingles; a group of more than BLOCK_SHINGLES or BLOCK_DOCS is dealt into bands of sizes, in
+    Documents joined by shared signatures are a candidate group; no link leaves one. The more documents there are, the
+    more of them chance chains into one group, so a group of more than a block is closed anew under another exact
+    condition: linked sets share a shingle of their prefixes in the order of how often shingles come in large groups.
+    Each group is joined exactly in one task by its shingles; a group of more than BLOCK_SHINGLES or BLOCK_DOCS is dealt into bands of sizes, in
     which linked documents lie in one band or in neighbours, and bands into blocks; blocks of one band or of
     neighbours meet in a task, so that no task holds more than two. Tasks return a row a document, not its pairs.
 
@@ -304,19 +385,26 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     nodes = materialize(text.mapInArrow(lambda it: _nodes(it, n), _NODES))
     named = nodes.where("digest is not null and doc_id is not null")
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
-    group = components(
-        text.mapInArrow(lambda it: _signed(it, n, num, den, shards), _SIGNED)
-        .groupBy("shard").applyInArrow(lambda t: _meet(t, shards), "part int, pairs binary")
-        .groupBy("part").applyInArrow(_pairs, "a long, b long")
-    )
+    group = _grouped(text.mapInArrow(lambda it: _signed(it, n, num, den, shards), _SIGNED), shards)
     reps = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"), F.sum("n_shingles").alias("n_shingles"))
     asked = materialize(group.join(reps, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "copies", "n_shingles"))
 
     def blocks(rows: DataFrame, *by: str) -> DataFrame:
         sums = rows.groupBy(*by).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-        return sums.select(*by, "docs", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-
-    large = materialize(blocks(asked, "part").where("docs > 1").select("part", (F.col("blocks") > 1).alias("large")))
+        return sums.select(*by, "docs", "shingles", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+    def by_part(rows: DataFrame) -> DataFrame:
+        return materialize(blocks(rows, "part").where("docs > 1").select("part", "shingles", (F.col("blocks") > 1).alias("large")))
+
+    large = by_part(asked)
+    shingles = large.where("large").agg(F.sum("shingles")).first()[0]
+    if shingles:
+        parts = large.where("large").select("part")
+        finer = _refined(text, materialize(asked.join(parts, "part").select("doc_id", "part")), int(shingles), n, num, den, shards)
+        finer = asked.drop("part").join(finer.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
+        asked = materialize(asked.join(parts, "part", "left_anti").unionByName(finer))
+        large = by_part(asked)
+    large = large.drop("shingles")
     band = F.when(F.col("large"), F.floor(F.log("n_shingles") / float(np.log(den / num * WIDER)))).otherwise(0).cast("int")
     asked = materialize(asked.join(large, "part").withColumn("band", band))
     sizes = materialize(blocks(asked, "part", "band").select("part", "band", "blocks"))
@@ -350,6 +438,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
 
 def near_duplicates_kept(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of `docs` whose doc_id is its component's smallest, with all their columns: one document of each group stays."""
-    found = ngram_components(docs.select("doc_id", "text"), n, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone), "doc_id", "left_anti").select(*docs.columns)
+    with scratch(docs.sparkSession):
+        found = ngram_components(docs.select("doc_id", "text"), n, num, den)
+        gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), kept=True)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.blocks import pack_keys, rows_of, squeeze, to_units, unpack_keys
-from markloom.llm.common import materialize, release, shared_dir, tidied, width
+from markloom.llm.common import materialize, release, scratch, shared_dir, tidied, width
 
 #: Bytes of an anchor: each window of the minimum length selects the anchors with the smallest hash in it.
 ANCHOR = 24
@@ -442,8 +442,10 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     Rows that repeat a doc_id must have one text. Only spans are written and met with the rows, so that each text is
     shuffled once; the join is by sort at every size."""
     spark = docs.sparkSession
-    found = repeated_spans(docs.select("doc_id", "text"), least).where("size(spans) > 0")
-    spans = materialize(found.groupBy("doc_id").agg(F.min("spans").alias("spans")))
+    with scratch(spark):
+        found = repeated_spans(docs.select("doc_id", "text"), least).where("size(spans) > 0")
+        spans = materialize(found.groupBy("doc_id").agg(F.min("spans").alias("spans")), kept=True)
+        del found
     release(spark)
     d, c = docs.alias("d"), spans.hint("merge").alias("c")
     joined = d.join(c, F.col("d.doc_id").cast("long") == F.col("c.doc_id"), "left")

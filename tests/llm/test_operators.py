@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -15,6 +16,7 @@ import pytest
 import xxhash
 
 from markloom.llm import bm25, fingerprints, language_id, mixing, ngram_join, packing, quality_lm, substring_dedup, token_counts, toxicity
+from markloom.llm.common import materialize, scratch
 from markloom.llm.graph import components
 from tests.llm.conftest import words
 
@@ -83,6 +85,29 @@ def test_ngram_join_in_bands(docs_of, monkeypatch):
         assert found == joined(rows, n, num, den)
 
 
+def test_large_groups_are_closed_anew(spark):
+    """Texts that one frequent passage chains part; each keeps the copy that it links with, in its own group only."""
+    rows = []
+    for k in range(60):
+        text = "the same five words again " + " ".join(words(30, k))
+        rows += [(k, text), (100 + k, text + " end")]
+    table = spark.createDataFrame([*rows, (7, None)], "doc_id long, text string")
+    large = spark.createDataFrame([(i, int(i == 103)) for i, _ in rows], "doc_id long, part long")
+    found = {r.node: r.component for r in ngram_join._refined(table, large, 3000, 5, 4, 5, 4).collect()}
+    assert found == {i: i % 100 for i, _ in rows if i % 100 != 3}
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with scratch(spark):
+        gone = materialize(spark.range(3))
+        with scratch(spark):
+            inner = materialize(spark.range(4), kept=True)
+        kept = materialize(inner, kept=True)
+    assert kept.count() == 4
+    left = [os.path.exists(f.inputFiles()[0].removeprefix("file://")) for f in (gone, inner, kept)]
+    assert left == [False, False, True]
+
+
 def test_partenum_signatures_meet():
     r, enum = random.Random(3), ngram_join.PartEnum(4, 5)
     for _ in range(300):
