@@ -37,11 +37,20 @@ def sample_count(n: Column) -> Column:
     return F.when(n <= 10, n).when(n <= 100, 10).when(n <= 500, 20).otherwise(30)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in the largest unit of 1024 that leaves a whole part, with one digit after the point."""
+def human_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes in the largest unit of 1024, up to `largest`, that leaves a whole part, with one digit after the point.
+
+    The digit is rounded in whole numbers, ties to even: exactly, as C's printf does."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
+    units = ("KB", "MB", "GB", "TB")
+    exact = n.cast("double").cast("long")  # what a division by a power of two would keep
+    for power, unit in enumerate(units[: units.index(largest) + 1], 1):
+        of = F.lit(1024**power)
+        tenths, rest = F.shiftright(exact % of * 10, 10 * power), 2 * (exact % of * 10 % of)
+        tenths = F.shiftright(exact, 10 * power) * 10 + tenths
+        tenths = tenths + F.when((rest > of) | ((rest == of) & (tenths % 2 == 1)), 1).otherwise(0)
+        shown = F.format_string("%d.%d " + unit, ((tenths - tenths % 10) / 10).cast("long"), tenths % 10)
+        out = F.when(n >= 1024**power, shown).otherwise(out)
     return out
 
 
