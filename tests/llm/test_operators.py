@@ -600,6 +600,17 @@ def test_search_ranks_equal_texts_by_doc_id(docs_of):
         assert all(a == pytest.approx(b) for q in got for (_, a), (_, b) in zip(got[q], expected[q]))
 
 
+def test_search_sends_documents_and_queries_once(docs_of, monkeypatch):
+    """However many batches and indexes there are, no copies of documents or queries are made for their pairs."""
+    rows, sent, answered = [(i, " ".join(words(20, i // 2))) for i in range(200)], [], bm25._answered
+    monkeypatch.setattr(bm25, "ASKED", 40)
+    monkeypatch.setattr(bm25, "_answered", lambda stored, asked, *a: sent.append((stored.count(), asked.count())) or answered(stored, asked, *a))
+    found = bm25.top_documents(docs_of(rows).repartition(4), every=20, k=5).collect()
+    assert len(sent) > 2 and {n for n, _ in sent} == {4} and sum(n for _, n in sent) <= 4
+    for q, best in ranked_by_hand(rows, 20, 5).items():
+        assert [i for i, _ in best] == [x.doc_id for x in sorted((x for x in found if x.query_id == q), key=lambda x: x.rank)]
+
+
 def test_search_skips_postings(monkeypatch):
     r = random.Random(5)
     common = [f"often{k}" for k in range(8)]
